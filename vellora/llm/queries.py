@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from vellora.llm import leaks as lk
 from vellora.llm import lookalike as la
+from vellora.llm import packing as pk
+from vellora.llm import quality as ql
 from vellora.llm import segment as sg
 from vellora.operators.references import clean_ref
 from vellora.plans.registry import Registry
@@ -66,3 +68,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Aligned pairs, edited copies included: a score of at least 24 (twelve words) or a quarter of the item."""
     return _leaks(spark, d).filter("score >= 24 or share >= 0.25").select("doc_id", "item_id", "score", F.round("share", 4).alias("share"), "longest_run")
+
+
+@Q.add()
+def p5_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews in containers of 2048 tokens."""
+    return pk.pack(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source")
+
+
+@Q.add()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews that are a list, a table or junk."""
+    return ql.text_statistics(table(spark, d, "documents"), "doc_id", "text").filter("kind in ('list', 'table', 'junk')").select("doc_id").distinct()
+
+
+@Q.add()
+def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of all reviews."""
+    return ql.text_statistics(table(spark, d, "documents"), "doc_id", "text")
