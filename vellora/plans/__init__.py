@@ -1,5 +1,6 @@
 """Named queries over the tables of a folder."""
 
 from vellora.plans.integrity import Q as integrity
+from vellora.plans.texts import Q as texts
 
-ALL = [integrity]
+ALL = [integrity, texts]
