@@ -1,6 +1,7 @@
 """Named queries over the tables of a folder."""
 
+from vellora.plans.blocks import Q as blocks
 from vellora.plans.integrity import Q as integrity
 from vellora.plans.texts import Q as texts
 
-ALL = [integrity, texts]
+ALL = [integrity, texts, blocks]
