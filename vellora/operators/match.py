@@ -47,19 +47,30 @@ def tables_in_range(located: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return paragraphs_in_range(located, t).select("item_id", "doc_id", "pos").distinct()
 
 
-def ladder(text: Column, quote: Column) -> Column:
-    """(rank, offset) of the first rung of a single paragraph that holds the quote; null if none.
+#: Rungs of the ladder: rank, the form of the quote, the form of the text it is looked for in.
+RUNGS = {1: ("q1", "t1"), 2: ("q2", "t2"), 3: ("q3", "t1"), 4: ("q4", "t1"), 7: ("q7", "t7")}
+
+
+def quote_forms(q: Column) -> list[Column]:
+    """Forms of a quote, once per item: as it is, without trailing blanks, without numbering (first, all lines), without tags."""
+    none = lambda c: F.when((c != q) & (c != ""), c)
+    return [F.nullif(q, F.lit("")).alias("q1"), F.nullif(tx.rtrim_lines(q), F.lit("")).alias("q2"), none(tx.strip_auto_number(q)).alias("q3"), none(tx.strip_auto_number_lines(q)).alias("q4"), F.nullif(tx.strip_markup(q), F.lit("")).alias("q7")]
+
+
+def text_forms(t: Column) -> list[Column]:
+    """Forms of a paragraph, once per paragraph; null where equal to the text itself."""
+    other = lambda c: F.when(c != t, c)
+    return [t.alias("t1"), other(tx.rtrim_lines(t)).alias("t2"), other(tx.strip_markup(t)).alias("t7")]
+
+
+def ladder() -> Column:
+    """(rank, offset) of the first rung that holds the quote, over columns q1.. and t1..; null if none.
 
     1 as it is; 2 lines without trailing blanks; 3 numbering prefix stripped; 4 numbering of all lines stripped;
     7 without superscript and subscript tags. Offsets count from 0 in the text the rung looks at.
     """
-    rungs = [
-        (1, text, quote), (2, tx.rtrim_lines(text), tx.rtrim_lines(quote)),
-        (3, text, F.nullif(tx.strip_auto_number(quote), quote)), (4, text, F.nullif(tx.strip_auto_number_lines(quote), quote)),
-        (7, tx.strip_markup(text), tx.strip_markup(quote)),
-    ]
-    hit = lambda t, q: F.when(q != "", F.position(q, t))
-    return F.coalesce(*[F.when(hit(t, q) > 0, F.struct(F.lit(r).alias("rank"), (hit(t, q) - 1).alias("offset"))) for r, t, q in rungs])
+    at = lambda q, t: F.position(F.col(q), F.coalesce(F.col(t), F.col("t1")))
+    return F.coalesce(*[F.when(at(q, t) > 0, F.struct(F.lit(r).alias("rank"), (at(q, t) - 1).alias("offset"))) for r, (q, t) in RUNGS.items()])
 
 
 def locate(items: DataFrame, paragraphs: DataFrame, quote: str = "violation_text") -> DataFrame:
@@ -67,14 +78,17 @@ def locate(items: DataFrame, paragraphs: DataFrame, quote: str = "violation_text
 
     Single paragraphs are tried first; items found in none are tried on their range joined by line feeds (rank 5);
     the rest is not_found, or no_anchor where the start paragraph is missing. The first rank, then the first place wins.
+    Both sides are brought to their forms before they meet, so a pair costs only the search.
     """
     i = items.select("item_id", "doc_id", "uuid", "uuid_end", F.col(quote).alias("q")).dropDuplicates(["item_id"])
     r = ranges(i, paragraphs)
-    pairs = paragraphs_in_range(r, paragraphs.select("doc_id", "pos", "text")).join(i.select("item_id", "q"), "item_id")
-    best = pairs.withColumn("hit", ladder(F.col("text"), F.col("q"))).filter("hit is not null").groupBy("item_id").agg(F.min(F.struct(F.col("hit.rank"), "pos", F.col("hit.offset"))).alias("m"))
-    left = pairs.join(best, "item_id", "left_anti").filter(F.contains(F.col("q"), F.lit("\n")))
-    joined = left.groupBy("item_id", "q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("t"), F.min("pos").alias("pos"))
-    cross = joined.filter(F.position(F.col("q"), F.col("t")) > 0).select("item_id", F.struct(F.lit(5).alias("rank"), "pos", (F.position(F.col("q"), F.col("t")) - 1).alias("offset")).alias("m"))
+    forms = r.join(i.select("item_id", *quote_forms(F.col("q"))), "item_id")
+    pairs = paragraphs_in_range(forms, paragraphs.select("doc_id", "pos", *text_forms(F.col("text"))))
+    best = pairs.withColumn("hit", ladder()).filter("hit is not null").groupBy("item_id").agg(F.min(F.struct(F.col("hit.rank"), "pos", F.col("hit.offset"))).alias("m"))
+    left = forms.filter(F.contains(F.col("q1"), F.lit("\n"))).join(best, "item_id", "left_anti").select(*r.columns, "q1")
+    wide = paragraphs_in_range(left, paragraphs.select("doc_id", "pos", "text"))
+    joined = wide.groupBy("item_id", "q1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("t"), F.min("pos").alias("pos"))
+    cross = joined.filter(F.position(F.col("q1"), F.col("t")) > 0).select("item_id", F.struct(F.lit(5).alias("rank"), "pos", (F.position(F.col("q1"), F.col("t")) - 1).alias("offset")).alias("m"))
     found = best.unionByName(cross)
     out = i.select("item_id", "doc_id").join(r.select("item_id", F.lit(True).alias("anchored")), "item_id", "left").join(found, "item_id", "left")
     status = F.when(F.col("m").isNotNull(), "found").when(F.col("anchored"), "not_found").otherwise("no_anchor")
