@@ -42,7 +42,15 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).dropDuplicates(["doc_id", "block_idx", "piece_no"])
 
 
-@Q.add()
+_ITEMS = "SELECT DISTINCT item_id, doc_id, upper(trim(uuid, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288))) AS r, violation_text AS q FROM edit_items WHERE regexp_matches(violation_text, '[^\\t-\\r\\x{85}\\p{Z}]')"
+
+
+@Q.add(
+    sql=f"""WITH i AS (SELECT row_number() OVER () AS n, * FROM ({_ITEMS})), b AS (SELECT row_number() OVER () AS n, doc_id, upper(uuid) AS r, content AS c FROM blocks WHERE content IS NOT NULL),
+ti AS (SELECT n, q AS t FROM i), tb AS (SELECT n, c AS t FROM b), fi AS ({la.form_sql().replace('FROM texts', 'FROM ti')}), fb AS ({la.form_sql().replace('FROM texts', 'FROM tb')})
+SELECT i.item_id FROM i JOIN fi ON fi.n = i.n JOIN b ON b.doc_id = i.doc_id AND b.r = i.r JOIN fb ON fb.n = b.n WHERE i.r <> '' AND regexp_matches(fi.t, '[^\\t-\\r\\x{{85}}\\p{{Z}}]')
+GROUP BY i.item_id HAVING bool_or(contains(fb.t, fi.t)) AND NOT bool_or(contains(b.c, i.q))"""
+)
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Items whose quote is in its block only in the consistent form."""
     return la.unmasked_quotes(table(spark, d, "edit_items"), table(spark, d, "blocks"), "item_id", "doc_id", "uuid", "violation_text", "content", clean_ref)
@@ -58,7 +66,14 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return lk.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
-@Q.add()
+_WORDS = "regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+')"
+
+
+def _windows(table_name: str, key: str) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(w[i + 1:i + 12], ' ') AS g FROM (SELECT {key}, w, unnest(range(len(w) - 11)) AS i FROM (SELECT {key}, {_WORDS} AS w FROM {table_name} WHERE text IS NOT NULL) WHERE len(w) >= 12)"
+
+
+@Q.add(sql=f"SELECT DISTINCT doc_id, item_id FROM ({_windows('documents', 'doc_id')}) d JOIN ({_windows('benchmark', 'item_id')}) b ON d.g = b.g")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Reviews and the test items of which they hold twelve consecutive words."""
     return _leaks(spark, d).filter("longest_run >= 12").select("doc_id", "item_id")
