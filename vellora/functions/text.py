@@ -345,3 +345,45 @@ def model_name(c: Column) -> Column:
 
 def is_reasoning_model(c: Column) -> Column:
     return F.coalesce(model_name(c).rlike("^(?:o1|o3|o4|gpt-5)"), F.lit(False))
+
+
+# ---- display and linear equations ----------------------------------------------------------------------------------
+
+
+def display_table(rows: Column, widest: int = 40) -> Column:
+    """A table as lines of padded cells (P33): columns as wide as their widest cell up to the cap, 20 beyond the first row's."""
+    cell = lambda c: F.coalesce(c, F.lit("None"))
+    first = F.get(rows, F.lit(0))
+    widths = F.transform(first, lambda _, i: F.least(F.lit(widest), F.array_max(F.transform(rows, lambda r: F.when(i < F.size(r), F.length(cell(F.get(r, i))))))))
+
+    def line(r: Column, w: Column) -> Column:
+        width = lambda i: F.coalesce(F.get(w, i), F.lit(20))
+        return F.array_join(F.transform(r, lambda c, i: F.rpad(F.substring(cell(c), F.lit(1), width(i)), width(i), F.lit(" "))), " | ")
+
+    # a list of one binds the widths, so that they are computed once per table
+    shown = F.get(F.transform(F.array(widths), lambda w: F.array_join(F.transform(rows, lambda r: line(r, w)), "\n")), F.lit(0))
+    return F.when(F.coalesce(F.size(rows), F.lit(0)) <= 0, "(empty table)").otherwise(shown)
+
+
+#: Repairs of linear equations, in order.
+LINEAR_REPAIRS = [
+    (r"\\degf", "&deg;F"), (r"\\degc", "&deg;C"), (r"(\\cbrt)(\w+)", r"\\sqrt[3]{$2}"), (r"(\\qdrt)(\w+)", r"\\sqrt[4]{$2}"), (r"\\sfrac", r"\\frac"), (r"(\\o[i]+nt)(\w+)", r"$1{$2}"), (r"\\bullet(\w+)", r"\\bullet $1"),
+    *[(rf"\\{n}([a-zA-Z0-9]+)", rf"\\{n}{{$1}}") for n in ("sum", "prod", "amalg", "bigcup", "bigcap", "bigvee", "bigwedge", "lfloor", "lceil")],
+    *[(rf"\\{n}\\below\{{(.+)\}}\{{(.+)\}}", rf"\\{n}_{{$1}}{{$2}}") for n in ("lim", "min", "max")],
+]
+
+
+def clean_linear(c: Column) -> Column:
+    """A linear equation with its invalid commands repaired."""
+    for pattern, to in LINEAR_REPAIRS:
+        c = F.regexp_replace(c, "(?U)" + pattern, to)
+    return c
+
+
+def positive_int(value: str | None, default: int, name: str = "setting") -> int:
+    """A configured whole number above zero, or the default where it is not set."""
+    if value is None or not str(value).strip():
+        return default
+    if not str(value).strip().isdigit() or int(value) < 1:
+        raise ValueError(f"{name} must be a whole number above zero, not {value!r}")
+    return int(value)

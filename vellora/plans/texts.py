@@ -208,3 +208,18 @@ def fn_table_row_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Row numbers stripped from table paragraphs, in all cells and in first cells only."""
     t = table(spark, d, "paragraphs").filter("is_table").select("doc_id", "pos", F.regexp_extract("text", "(?s)^<table>(.*)</table>$", 1).alias("j")).distinct()
     return t.select("doc_id", "pos", tb.strip_row_numbers(F.col("j"), F.lit(True)).alias("all_cells"), tb.strip_row_numbers(F.col("j"), F.lit(False)).alias("first_cells"), tx.fix_table_json(F.col("j")).alias("fixed"))
+
+
+@Q.add(
+    sql="""WITH t AS (SELECT DISTINCT doc_id, pos, CAST(json(regexp_extract(text, '<table>(.*)</table>', 1)) AS VARCHAR[][]) AS r FROM paragraphs
+WHERE is_table AND text LIKE '<table>%</table>' AND json_valid(regexp_extract(text, '<table>(.*)</table>', 1))),
+c AS (SELECT doc_id, pos, i, j, coalesce(r[i][j], 'None') AS x FROM (SELECT doc_id, pos, r, i, unnest(range(1, len(r[i]) + 1)) AS j FROM (SELECT doc_id, pos, r, unnest(range(1, len(r) + 1)) AS i FROM t))),
+f AS (SELECT doc_id, pos, len(r[1]) AS n FROM t),
+w AS (SELECT c.doc_id, c.pos, j, CASE WHEN j <= any_value(n) THEN least(40, max(length(x))) ELSE 20 END AS w FROM c JOIN f ON f.doc_id = c.doc_id AND f.pos = c.pos GROUP BY c.doc_id, c.pos, j),
+l AS (SELECT c.doc_id, c.pos, i, string_agg(rpad(substr(x, 1, w), CAST(w AS INTEGER), ' '), ' | ' ORDER BY c.j) AS line FROM c JOIN w ON w.doc_id = c.doc_id AND w.pos = c.pos AND w.j = c.j GROUP BY c.doc_id, c.pos, i)
+SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS shown FROM l GROUP BY doc_id, pos"""
+)
+def fn_table_display(spark: SparkSession, d: str) -> DataFrame:
+    """Tables as padded lines."""
+    t = table(spark, d, "paragraphs").filter("is_table").select("doc_id", "pos", F.from_json(F.regexp_extract("text", "(?s)^<table>(.*)</table>$", 1), "array<array<string>>").alias("r")).filter("r is not null")
+    return t.select("doc_id", "pos", tx.display_table(F.col("r")).alias("shown")).distinct()

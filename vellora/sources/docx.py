@@ -394,3 +394,34 @@ def images(data: bytes) -> list[tuple[str, str, bytes]]:
         used[stem + ext] = k = used.get(stem + ext, 0) + 1
         out.append((stem + (f"_{k}" if k > 1 else "") + ext, rel["format"], pkg.zip.read(rel["part"].lstrip("/"))))
     return out
+
+
+def image_rows(files: DataFrame) -> DataFrame:
+    """Embedded images of documents (K10): doc_id, name, format, content; unreadable documents give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column(0), b.column(1)):
+                try:
+                    got = images(data.as_py())
+                except Exception:  # noqa: BLE001
+                    got = []
+                doc = posixpath.basename(path.as_py() or "")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc] * len(got), pa.string()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.binary())], names=["doc_id", "name", "format", "content"]
+                )
+
+    return files.select("path", "content").mapInArrow(run, "doc_id string, name string, format string, content binary")
+
+
+def write_images(rows: DataFrame, folder: str) -> None:
+    """Writes images into ``<document>.image`` below a folder all executors share."""
+
+    def put(part: Iterator) -> None:
+        for r in part:
+            at = os.path.join(folder, os.path.splitext(r.doc_id)[0] + ".image")
+            os.makedirs(at, exist_ok=True)
+            with open(os.path.join(at, r.name), "wb") as f:
+                f.write(r.content)
+
+    rows.foreachPartition(put)

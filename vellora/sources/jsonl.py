@@ -139,3 +139,8 @@ def blocks_json(blocks: list[dict], meta: dict) -> str:
 def rules_json(rules: list[dict], version: str = "1.0", description: str = "") -> str:
     """One readable JSON text of a rule set."""
     return json.dumps({"version": version, "description": description, "type": "block", "rules": rules}, ensure_ascii=False, indent=2)
+
+
+def manifest_meta(lines: DataFrame, order: str) -> DataFrame:
+    """The first line with audited_at or of type meta."""
+    return lines.filter("audited_at is not null or type = 'meta'").orderBy(order).limit(1)
