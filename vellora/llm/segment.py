@@ -190,7 +190,7 @@ def pieces(df: DataFrame, text: str, limit: int = 8000, overlap: int = 200, keep
     big = split_oversized(df, text, limit, overlap, keep)
     kept = big.columns[:-7]
     n = F.length(text).cast("int")
-    small = df.filter(estimate_tokens(F.col(text)) <= limit).select(
+    small = df.filter(F.col(text).isNotNull() & (estimate_tokens(F.col(text)) <= limit)).select(
         *kept, F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start_at"), n.alias("end_at"), F.lit(0).alias("overlap"), F.lit("end").alias("cut"), F.col(text).alias("piece")
     )
     return small.unionByName(big)
