@@ -61,3 +61,21 @@ def test_fixture_and_both_paths(spark):
         assert edited.longest_run == 8 and edited.score >= 60 and len(got) == len({(r.doc_id, r.item_id) for r in got})
     assert lk.leaks(df.drop("item_id").limit(0), bench, "doc_id", "text", "item_id", "text").count() == 0
     assert lk.leaks(df.drop("item_id"), bench.limit(0), "doc_id", "text", "item_id", "text").count() == 0
+
+
+def test_alignment_of_many_is_that_of_each():
+    rng = random.Random(4)
+    pairs = [tuple(np.array([rng.randrange(6) for _ in range(rng.randrange(30))], dtype=np.int32) for _ in range(2)) for _ in range(200)]
+    for cells in (1, 100, 1 << 15):
+        assert lk.align_many(pairs, cells) == [lk.align(a, b) for a, b in pairs]
+
+
+def test_edited_copies_without_and_beside_intact_ones(spark):
+    item = [f"w{i}" for i in range(56)]
+    edits = {n: " ".join(f"z{i}" if i % n == n - 1 and i < 54 or i == 55 else w for i, w in enumerate(item)) for n in (6, 8, 10, 12)}
+    alone = list(edits.items())
+    for docs in [[x] for x in alone] + [alone, [*alone, *((100 + k, " ".join(item)) for k in range(3))]]:
+        corpus = spark.createDataFrame(docs, "doc_id long, text string")
+        for most in (4_000_000, 3):
+            got = {r.doc_id: r.score for r in lk.leaks(corpus, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"), "doc_id", "text", "item_id", "text", most_broadcast=most).collect()}
+            assert got == {k: smith_waterman(lk.words(t), item) for k, t in docs}

@@ -1,4 +1,4 @@
-"""Evaluation texts in a corpus: rare n-gram seeds, then local alignment."""
+"""Evaluation texts in a corpus: shared n-grams as seeds, then local alignment."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,28 +122,57 @@ def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap:
     return *best, longest
 
 
-def seeds(bench: DataFrame, hits: DataFrame, window: int = 12) -> DataFrame:
-    """Rarest gram of every ``window`` words of every test item: item, gram.
+def align_many(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 15) -> list[tuple[int, int, int, int]]:
+    """``align`` of many pairs of word numbers (all at least 0): pairs of similar length run side by side, a row of each at a time.
 
-    Rarity is the number of corpus rows holding the gram, counted over all rows that hold any gram of the test items.
-    A row that shares ``window`` consecutive words with an item holds that window's rarest gram, so seeds lose none.
+    Shorter pairs are filled up with numbers that match nothing, so no score or run grows there.
     """
-    spread = hits.select("rid", F.explode(F.array_distinct("hits.gram")).alias("gram")).groupBy("gram").agg(F.count("*").alias("rows"))
-    grams = bench.select(F.col("key").alias("item"), F.inline("hits"))
-    w = Window.partitionBy("item").orderBy("pos").rowsBetween(0, window - GRAM)
-    return (
-        grams.join(spread, "gram", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
-        .select("item", F.min(F.struct("rows", "gram")).over(w).alias("s")).select("item", "s.gram").distinct()
-    )
-
-
-def leaks(corpus: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, window: int = 12, most_broadcast: int = 4_000_000) -> DataFrame:
-    """Pairs of a corpus row and a test item that share a seed, with their alignment.
+    got: list[tuple[int, int, int, int]] = [(0, 0, 0, 0)] * len(pairs)
+    short = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
+    left = sorted((k for k, (a, _) in enumerate(short) if len(a)), key=lambda k: (len(short[k][1]), len(short[k][0])))
+    while left:
+        width = len(short[left[-1]][1])
+        group = left[-max(1, cells // (width + 1)) :]
+        del left[-len(group) :]
+        a = np.full((max(len(short[k][0]) for k in group), len(group)), -1, dtype=np.int32)
+        b = np.full((len(group), width), -2, dtype=np.int32)
+        for r, k in enumerate(group):
+            a[: len(short[k][0]), r] = short[k][0]
+            b[r, : len(short[k][1])] = short[k][1]
+        step = np.arange(width + 1, dtype=np.int32)
+        row = np.zeros((len(group), width + 1), dtype=np.int32)
+        run = np.zeros_like(row)
+        best, best_i, best_j, longest = (np.zeros(len(group), dtype=np.int32) for _ in range(4))
+        every = np.arange(len(group))
+        for i, w in enumerate(a):
+            same = b == w[:, None]
+            new = row - 1
+            new[:, 0] = 0
+            np.maximum(new[:, 1:], row[:, :-1] + (same * np.int32(3) - np.int32(1)), out=new[:, 1:])
+            np.maximum(new, 0, out=new)
+            new += step
+            np.maximum.accumulate(new, axis=1, out=new)
+            new -= step
+            row = new
+            top = row.argmax(axis=1)
+            high = row[every, top]
+            up = high > best
+            best[up], best_i[up], best_j[up] = high[up], i + 1, top[up]
+            run[:, 1:] = (run[:, :-1] + 1) * same
+            np.maximum(longest, run.max(axis=1), out=longest)
+        for r, k in enumerate(group):
+            i, j = int(best_i[r]), int(best_j[r])
+            got[k] = (int(best[r]), *((i, j) if len(pairs[k][0]) <= len(pairs[k][1]) else (j, i)), int(longest[r]))
+    return got
+
+
+def leaks(corpus: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, most_broadcast: int = 4_000_000) -> DataFrame:
+    """Pairs of a corpus row and a test item that share five consecutive words, with their alignment.
 
     key, item_key, score (Smith-Waterman over words: match 2, mismatch and gap -1), share (score over the item's best
     possible score), doc_end and item_end (words up to the end of the best alignment), longest_run (most consecutive
-    common words). Pairs sharing ``window`` consecutive words are all there; edited copies are there as far as they
-    keep one seed of five words.
+    common words). A seed is any gram the two share, whichever it is and however many rows hold it: an edit removes only
+    the grams across it, so every copy is there that keeps five words in a row.
 
     One scan of the corpus keeps only rows holding a gram of the test items. The sorted gram hashes go along with the
     scan only up to ``most_broadcast`` grams (32 MB); beyond that, all grams of the corpus meet them in a shuffled
@@ -162,20 +191,20 @@ def leaks(corpus: DataFrame, items: DataFrame, key: str, text: str, item_key: st
         kept = every.select("u", F.inline("hits")).join(distinct, "gram", "left_semi").groupBy("u").agg(F.collect_list(F.struct("pos", "gram")).alias("hits"))
         found = every.drop("hits").join(kept, "u").drop("u")
     hits = checkpointed(found.withColumn("rid", F.monotonically_increasing_id()))
-    pairs = hits.select("rid", F.explode(F.array_distinct("hits.gram")).alias("gram")).join(seeds(bench, hits, window), "gram").select("rid", "item").distinct()
+    grams = bench.select(F.col("key").alias("item"), F.explode(F.array_distinct("hits.gram")).alias("gram"))
+    pairs = hits.select("rid", F.explode(F.array_distinct("hits.gram")).alias("gram")).join(grams, "gram").select("rid", "item").distinct()
     both = pairs.join(hits.select("rid", "key", "text"), "rid").join(item, F.col("item") == F.col("item_key")).select("key", "item_key", "text", "item_text")
     # alignment costs far more than its rows are large: keep every core busy
     both = both.repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "item_key")
     schema = T.StructType([T.StructField(key, corpus.schema[key].dataType), T.StructField(item_key, items.schema[item_key].dataType)] + [T.StructField("score", T.IntegerType()), T.StructField("share", T.DoubleType())] + [T.StructField(c, T.IntegerType()) for c in ("doc_end", "item_end", "longest_run")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hasher()
-        for b in batches:
-            got = []
-            for t, u in zip(b.column(2), b.column(3)):
-                x, y = hashes(words(t.as_py())), hashes(words(u.as_py()))
-                s, i, j, longest = align(x, y)
-                got.append((s, s / (2 * len(y)), i, j, longest))
+        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+            known: dict[str, int] = {}
+            number = lambda t: np.array([known.setdefault(w, len(known)) for w in words(t)], dtype=np.int32)  # noqa: B023, E731
+            item_words = {u: number(u) for u in set(b.column(3).to_pylist())}
+            sides = [(number(t.as_py()), item_words[u.as_py()]) for t, u in zip(b.column(2), b.column(3))]
+            got = [(s, s / (2 * len(y)), i, j, longest) for (_, y), (s, i, j, longest) in zip(sides, align_many(sides))]
             cols = list(zip(*got)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.float64()), *[pa.array(c, pa.int32()) for c in cols[2:]]], names=schema.names
