@@ -1,4 +1,6 @@
 import random
+import time
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -71,3 +73,44 @@ def test_against_labels(spark):
     s = ql.text_statistics(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
     r = s.join(votes, "doc_id").select(F.avg((F.col("prose") == (F.col("q") > 0.5)).cast("int")).alias("agree")).first()
     assert r.agree > 0.93  # raters err
+
+
+def test_long_tokens_count_whole(spark):
+    rng = random.Random(9)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    han = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    texts = []
+    for size in (300, 513, 2061, 20000, 100000):
+        texts.append("".join(rng.choices(b64, k=size)))
+        texts.append("".join(rng.choices(han, k=size - 40)) + "battery，" + "".join(rng.choices(han, k=32)))
+    for t in texts:
+        for cuts in ([], *(range(c, len(t), c) for c in (97, 640, 65536) if len(t) // c < 300), sorted(rng.sample(range(1, len(t)), 5))):
+            at = [0, *cuts, len(t)]
+            parts = [ql.State.of(t[a:b]) for a, b in zip(at, at[1:])]
+            while len(parts) > 1:
+                parts = [parts[k] + parts[k + 1] if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+            n, h, _ = ql.State.unpack(parts[0].pack()).done()
+            c = dict(zip(ql.COUNTS, n))
+            assert c["tokens"] == 1 and c["chars"] == len(t)
+            if t.isascii():
+                assert c["long"] == len(t) and c["words"] == sum(h) == 0
+            else:
+                want = [0] * len(h)
+                for x in t:
+                    if x in han:
+                        want[zlib.crc32(x.encode()) % len(h)] += 1
+                assert h == want and c["long"] == 0
+    rows = [(k, "Good. " * (k % 2) + t + tail) for k, t in enumerate(texts) for tail in ("", "\nend")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = [sorted(map(tuple, ql.text_statistics(df, "doc_id", "text", chunk=c, fan_in=8).collect())) for c in (640, 7000, 200000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    assert all(g[-1] == "junk" for g, (_, t) in zip(got[0], rows) if t.isascii() and "Good" not in t)
+
+
+def test_long_tokens_take_linear_time():
+    began = time.time()
+    for t in ("@" * 100000, "字" * 99990 + "<", "a_" * 50000 + "=字<b", "x" * 100000, "a@" * 50000 + "."):
+        ql._token(t, [0] * len(ql.COUNTS), [0] * 64)
+    assert time.time() - began < 5
+    links = lambda t: (n := [0] * len(ql.COUNTS), ql._token(t, n, [0] * 64))[0][-1]
+    assert [links(t) for t in ("a@b.c", "@b.c", "a@.c", "a@.c.d", "a@b@c.d", "www.x", "www.", "http://a", "a@b.")] == [1, 0, 0, 1, 1, 1, 0, 1, 0]

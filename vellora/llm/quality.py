@@ -44,13 +44,15 @@ _DELIM = re.compile(r"[,;](?=[^\s,;])")
 _GAP = re.compile(r"(?<=\S) {3,}(?=\S)")
 #: What text read in a wrong encoding is full of.
 _ODD = re.compile(r"[ÂÃÅâæçèéåäï][\x80-\xBF€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸ©ª«¬®¯°±²³´µ¶·¸¹º»¼½¾]|�")
-_MARK = re.compile(r"</?\w|/>|\w+=[\"']|^#\w|^[{}<>]+$|\{\{")
-_TAG = re.compile(r"<[^<>]*>?|\w+=[\"'][^\"'<>]*[\"']?>?|\{\{[^{}]*\}*")
-_URL = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+")
+# tokens may be long: each of these reads a token once
+_MARK = re.compile(r"</?\w|/>|\w=[\"']|^#\w|^[{}<>]+$|\{\{")
+_TAG = re.compile(r"<[^<>]*>?|(?<!\w)\w++=[\"'][^\"'<>]*[\"']?>?|\{\{[^{}]*\}*")
+_URL = re.compile(r"(?:https?://|www\.)\S")
+_DOMAIN = re.compile(r"\.\w")
 _BULLET = re.compile(r"(?:[-*•+·–—▪◦‣●○■□]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\[[ xX✓]?\])\s+\S|[①-⑳]|[•●▪◦]\S|\d{1,3}、")
 _PAIR = re.compile(r"[^:=.!?。！？：]{1,30}(?:[:：]| =)\s*[^.!?。！？]{0,48}$")
 _CELLS = re.compile(r'"[^"]*"(?:[;,]"[^"]*")+$|[^,;.!?]{1,30}(?:[,;]\d+)+$')
-_HEAD, _EDGE = 96, 64
+_HEAD = 96
 CHUNK = 65_536
 FAN_IN = 64
 
@@ -60,10 +62,16 @@ def _hist(words: list[str], h: list[int]) -> None:
         h[zlib.crc32(w.encode("utf-8", "surrogatepass")) % _BUCKETS] += 1
 
 
+def _link(t: str) -> bool:
+    """A web or mail address."""
+    at = t.find("@", 1)
+    return _URL.match(t) is not None or at > 0 and _DOMAIN.search(t, at + 2) is not None
+
+
 def _token(t: str, n: list[int], h: list[int]) -> None:
     """Adds one whole token (run without blanks) to the counts."""
     n[12] += 1
-    if _URL.match(t):
+    if _link(t):
         n[19] += 1
         return
     cjk = _CJK.search(t) is not None
@@ -89,8 +97,8 @@ def _token(t: str, n: list[int], h: list[int]) -> None:
 class Part:
     """Counts of a run of characters inside one line, with the open tokens at its ends.
 
-    A token cut by the run's border is kept as text (its first characters, and its length) and counted once it is
-    whole; so the counts of a text do not depend on where it was cut.
+    A token cut by the run's border is kept as text, all of it, and counted once it is whole; so the counts of its
+    words and characters do not depend on where it was cut.
     """
 
     __slots__ = ("n", "h", "head", "last", "left", "right", "solid")
@@ -119,12 +127,12 @@ class Part:
             p.last = tokens[-1][-1]
         p.solid = len(tokens) == 1 and n[0] == n[1]
         if p.solid:
-            p.left = _short(tokens[0])
+            p.left = tokens[0]
             return p
         if tokens and not s[-1].isspace():
-            p.right = _short(tokens.pop())
+            p.right = tokens.pop()
         if tokens and not s[0].isspace():
-            p.left = _short(tokens.pop(0))
+            p.left = tokens.pop(0)
         for t in tokens:
             _token(t, n, p.h)
         return p
@@ -138,7 +146,7 @@ class Part:
         r.last = o.last or self.last
         r.solid = self.solid and o.solid
         open_left, open_right = (self.left if self.solid else self.right), o.left
-        middle = _short(open_left + open_right)
+        middle = open_left + open_right
         if r.solid:
             r.left = middle
         elif self.solid:
@@ -160,11 +168,6 @@ class Part:
         return n, h
 
 
-def _short(t: str) -> str:
-    """A token of bounded length that counts like the token: long ones keep their start."""
-    return t if len(t) <= 4 * _EDGE else t[: 4 * _EDGE]
-
-
 KINDS = ("lines", "listed", "tabular", "junk", "junk_chars", "prose", "prose_chars", "sentences", "stopped")
 
 
@@ -335,7 +338,8 @@ def text_statistics(df: DataFrame, key: str, text: str, chunk: int = CHUNK, fan_
 
     A text of at most ``chunk`` characters is one chunk and never shuffled. Longer ones are cut into chunks that are
     spread over the cluster; the partial counts of chunks are associative (cut words and cut lines are carried as
-    boundary state) and merge in a tree of ``fan_in`` per level, so neither a text nor its chunks meet in one task.
+    boundary state) and merge in a tree of ``fan_in`` per level, so neither a text nor its chunks meet in one task; only
+    a run without blanks that is longer than a chunk is put together again, as its counts depend on all of it.
     Empty and blank texts are of kind blank. The counts do not depend on ``chunk``.
     """
     stats = _stat_types()
