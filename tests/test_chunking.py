@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellora.functions import tables as tb
 from vellora.operators import chunking as ch
 from vellora.operators import structure as so
+from vellora.plans import blocks
 
 LEVELS = "doc_id string, pos long, text string, para_id string, para_id_end string, is_table boolean, level int"
 
@@ -124,3 +125,20 @@ def test_row_numbers():
     assert f('["1", "a) x"]', False) == '["", "a) x"]'
     assert f('["content"]', True) == '["content"]' and f("no table", True) == "no table" and f('["broken', True) == '["broken'
     assert f('["", "a) First\\nb) Second"]', True) == '["", "First\\nSecond"]'
+
+
+def test_all_items_are_packed(spark):
+    d = "/root/testdata/sf0.01"
+    rows = sorted({tuple(r) for r in spark.read.parquet(f"{d}/edit_items.parquet").select("rule_id", "item_id", "violation_text").collect() if r.rule_id is not None and r.violation_text is not None})
+    assert any("一" <= c <= "龥" for r in rows for c in r[2]) and any(c in '[]",{}' for r in rows for c in r[2])
+    want, state = [], {}
+    for rule, item, t in rows:
+        own = (sum("一" <= c <= "龥" for c in t), sum(c in '[]",{}' for c in t))
+        own = (*own, len(t) - sum(own))
+        tot, no = state.get(rule, ((0, 0, 0), 0))
+        more = tuple(a + b for a, b in zip(tot, own))
+        full = rule in state and int((more[0] * 0.75 + more[1] * 1.0 + more[2] * 0.4) * 1.05) + 2 > 2000
+        state[rule] = (own, no + 1) if full else (more, no)
+        want.append((rule, item, state[rule][1]))
+    got = [tuple(r) for r in blocks.queries["chunk_pack_all_items"](spark, d).collect()]
+    assert sorted(got) == sorted(want) and max(w[2] for w in want) > 0

@@ -125,7 +125,15 @@ f AS (SELECT rule_id, item_id, k, n, n AS tot, 0 AS chunk_no FROM i WHERE k = 1
 SELECT rule_id, item_id, CAST(chunk_no AS INTEGER) AS chunk_no FROM f"""
 )
 def chunk_pack_items(spark: SparkSession, d: str) -> DataFrame:
-    """Items packed per rule by token budget."""
+    """Items packed per rule by token budget, of those without Chinese characters and JSON marks: what the SQL can weigh."""
     i = table(spark, d, "edit_items").filter("rule_id is not null and violation_text is not null").filter(~F.col("violation_text").rlike(r'[一-龥\[\]",{}]')).select("rule_id", "item_id", "violation_text").distinct()
     i = ch.with_counts(i, "violation_text").drop("violation_text")
     return ch.pack_by_budget(i, "rule_id", ["item_id"], ["n_cjk", "n_json", "n_other"], 2000, per_item=(0, 0, 0)).select("rule_id", "item_id", "chunk_no")
+
+
+@Q.add()
+def chunk_pack_all_items(spark: SparkSession, d: str) -> DataFrame:
+    """All items packed per rule by token budget, each class of characters with its weight."""
+    i = table(spark, d, "edit_items").filter("rule_id is not null and violation_text is not null").select("rule_id", "item_id", "violation_text").distinct()
+    i = ch.with_counts(i, "violation_text").drop("violation_text")
+    return ch.pack_by_budget(i, "rule_id", ["item_id"], ["n_cjk", "n_json", "n_other"], 2000, per_item=(0, 0, 0)).select("rule_id", "item_id", "chunk_no")
