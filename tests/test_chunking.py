@@ -142,3 +142,14 @@ def test_all_items_are_packed(spark):
         want.append((rule, item, state[rule][1]))
     got = [tuple(r) for r in blocks.queries["chunk_pack_all_items"](spark, d).collect()]
     assert sorted(got) == sorted(want) and max(w[2] for w in want) > 0
+
+
+def test_later_chunks_keep_the_header_rows(spark):
+    head = [["No", "Name"]]
+    big = json.dumps(head + [[str(i), "cell text of some length " * 4] for i in range(420)])
+    rows = [("d", 0, "Heading", "P0", None, False, 1, None), ("d", 1, f"<table>{big}</table>", "P1", "P2", True, None, head), ("d", 2, "after " * 900, "P3", None, False, None, None), ("d", 3, f"<table>{json.dumps(head)}</table>", "P4", "P5", True, None, head)]
+    df = spark.createDataFrame(rows, LEVELS + ", table_header array<array<string>>")
+    got = [r for r in ch.build_blocks(df).orderBy("block_idx").collect()]
+    assert len(got) >= 3 and got[0].table_header is None and "middle" in {r.table_chunk_role for r in got}
+    assert all(r.table_header == head for r in got[1:] if "cell text" in r.content)
+    assert all(r.table_header is None for r in ch.build_blocks(df.drop("table_header")).collect())

@@ -37,7 +37,7 @@ def main(argv: list[str] | None = None) -> int:
         paras = dx.read_binary(files)
         bad = paras.filter("pos is null").count()
         level = None if args.fixlevel is None else int(args.fixlevel)
-        ch.build_blocks(paras.filter("pos is not null").drop("table_header", "source_hash"), level).write.mode("overwrite").parquet(args.target)
+        ch.build_blocks(paras.filter("pos is not null").drop("source_hash"), level).write.mode("overwrite").parquet(args.target)
         return int(bad > 0)
     if args.stage == "audit":
         blocks = spark.read.parquet(args.source)
