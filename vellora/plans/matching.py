@@ -43,5 +43,5 @@ def match_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @Q.add()
 def match_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Place, rank and status of each quote."""
+    """M01, M02 in part: place, rank and status of each quote, without the rungs for tables (README, Open)."""
     return mt.locate(table(spark, d, "edit_items"), st.current_paragraphs(table(spark, d, "paragraphs")))
