@@ -101,3 +101,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of all reviews."""
     return ql.text_statistics(table(spark, d, "documents"), "doc_id", "text")
+
+
+def strung_together(spark: SparkSession, d: str) -> DataFrame:
+    """The reviews of 512 neighbouring ids as one text, in order of their id: texts far longer than a review."""
+    docs = table(spark, d, "documents").filter("text is not null and doc_id is not null").withColumn("volume", F.floor(F.col("doc_id") / 512))
+    return docs.groupBy("volume").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+@Q.add()
+def p7_huge(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of texts so long that their chunks are spread over the cluster."""
+    return ql.text_statistics(strung_together(spark, d), "volume", "text", stretch=1 << 16)
