@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from vellora.llm import codes
 from vellora.llm import leaks as lk
 from vellora.llm.queries import Q
 
@@ -51,16 +52,39 @@ def make(spark):
     return spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string, lang string"), docs, items
 
 
-def test_fixture_and_both_paths(spark):
+def run(corpus, items, **more):
+    return lk.leaks(corpus, items, "doc_id", "text", "item_id", "text", **more).collect()
+
+
+def test_fixture(spark):
     df, bench, docs, items = make(spark)
-    for most in (4_000_000, 3):
-        got = lk.leaks(df.drop("item_id"), bench, "doc_id", "text", "item_id", "text", most_broadcast=most).collect()
-        exact = {(r.doc_id, r.item_id) for r in got if r.longest_run >= 12}
-        assert exact == brute([x[:2] for x in docs], [x[:2] for x in items]) == {(1, 10), (1, 11), (2, 10), (2, 11)}
-        edited = next(r for r in got if (r.doc_id, r.item_id) == (4, 10))
-        assert edited.longest_run == 8 and edited.score >= 60 and len(got) == len({(r.doc_id, r.item_id) for r in got})
-    assert lk.leaks(df.drop("item_id").limit(0), bench, "doc_id", "text", "item_id", "text").count() == 0
-    assert lk.leaks(df.drop("item_id"), bench.limit(0), "doc_id", "text", "item_id", "text").count() == 0
+    got = run(df.drop("item_id"), bench, least_score=0)
+    exact = {(r.doc_id, r.item_id) for r in got if r.longest_run >= 12}
+    assert exact == brute([x[:2] for x in docs], [x[:2] for x in items]) == {(1, 10), (1, 11), (2, 10), (2, 11)}
+    edited = next(r for r in got if (r.doc_id, r.item_id) == (4, 10))
+    assert edited.longest_run == 8 and edited.score >= 60 and len(got) == len({(r.doc_id, r.item_id) for r in got})
+    assert {(r.doc_id, r.item_id) for r in run(df.drop("item_id"), bench)} == {(r.doc_id, r.item_id) for r in got if r.score >= 24 or r.share >= 0.25} >= exact
+    assert run(df.drop("item_id").limit(0), bench) == run(df.drop("item_id"), bench.limit(0)) == []
+
+
+def test_tiles_of_long_texts_give_the_alignment_of_the_whole(spark):
+    rng = random.Random(11)
+    item = [f"w{i}" for i in range(30)]
+    docs = []
+    for k in range(12):
+        w = [f"z{rng.randrange(50)}" for _ in range(6000)]
+        for at in [*rng.sample(range(0, 5900), 5), 500, 1020]:
+            copy = [x for i, x in enumerate(item) if rng.random() > 0.1] + ["zz"] * rng.randrange(4) + item[: rng.randrange(30)]
+            w[at : at + len(copy)] = copy
+        docs.append((k, " ".join(w)))
+    got = {r.doc_id: r for r in run(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))}
+    number = {w: i for i, w in enumerate(sorted({w for _, t in docs for w in t.split()}))}
+    for k, t in docs:
+        a, b = (np.array([number[w] for w in x], dtype=np.int32) for x in (t.split(), item))
+        score, _, _, longest = lk.align(a, b)
+        assert (got[k].score, got[k].longest_run) == (score, longest)
+        e = got[k].doc_end
+        assert lk.align(a[max(0, e - 120) : e], b)[0] == score
 
 
 def test_alignment_of_many_is_that_of_each():
@@ -68,6 +92,7 @@ def test_alignment_of_many_is_that_of_each():
     pairs = [tuple(np.array([rng.randrange(6) for _ in range(rng.randrange(30))], dtype=np.int32) for _ in range(2)) for _ in range(200)]
     for cells in (1, 100, 1 << 15):
         assert lk.align_many(pairs, cells) == [lk.align(a, b) for a, b in pairs]
+        assert lk.scores(pairs, cells).tolist() == [lk.align(a, b)[0] for a, b in pairs]
 
 
 def test_edited_copies_without_and_beside_intact_ones(spark):
@@ -76,6 +101,24 @@ def test_edited_copies_without_and_beside_intact_ones(spark):
     alone = list(edits.items())
     for docs in [[x] for x in alone] + [alone, [*alone, *((100 + k, " ".join(item)) for k in range(3))]]:
         corpus = spark.createDataFrame(docs, "doc_id long, text string")
-        for most in (4_000_000, 3):
-            got = {r.doc_id: r.score for r in lk.leaks(corpus, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"), "doc_id", "text", "item_id", "text", most_broadcast=most).collect()}
-            assert got == {k: smith_waterman(lk.words(t), item) for k, t in docs}
+        got = {r.doc_id: r.score for r in run(corpus, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))}
+        assert got == {k: smith_waterman(lk.words(t), item) for k, t in docs}
+
+
+def test_recall_of_edited_copies(spark):
+    got = Q.queries["p6_recall"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.every for r in got) == [6, 8, 10, 12] and all(r.found == r.planted > 200 for r in got)
+
+
+def test_a_full_filter_only_passes_more(spark, monkeypatch):
+    df, bench, docs, items = make(spark)
+    want = sorted(map(tuple, run(df.drop("item_id"), bench)))
+    monkeypatch.setattr(lk, "_filter", lambda grams: np.full(1 << (lk.FILTER_BITS - 3), 255, dtype=np.uint8))
+    assert sorted(map(tuple, run(df.drop("item_id"), bench))) == want
+
+
+def test_words_of_many_texts(spark):
+    texts = ["Straße İstanbul x_y", None, "", "a1 b-2", "ÄRGER\nü"]
+    h, at = codes.words(texts)
+    one = lambda w: int(codes.words([w])[0][0])
+    assert [h[i:j].tolist() for i, j in zip(at, at[1:])] == [[one(w) for w in lk.words(t)] for t in texts]

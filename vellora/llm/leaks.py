@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellora.llm import codes
 from vellora.session import checkpointed
 
 _WORD = re.compile(r"[^\W_]+")
 GRAM = 5
+#: Size of the filter of the test items' grams, as a power of two: 2 MB of bits.
+FILTER_BITS = 24
 
 
 def words(text: str | None) -> list[str]:
@@ -22,18 +25,9 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.casefold()) if text else []
 
 
-_MASK = (1 << 64) - 1
-
-
-def _word_hash(w: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in w.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 0x100000001B3 & _MASK
-    return h
-
-
 def gram_hashes(ids: np.ndarray, n: int = GRAM) -> np.ndarray:
-    """64-bit hash of each run of ``n`` word hashes (uint64)."""
+    """64-bit hash of each run of ``n`` word hashes."""
+    ids = ids.view(np.uint64)
     if len(ids) < n:
         return np.empty(0, dtype=np.int64)
     h = np.zeros(len(ids) - n + 1, dtype=np.uint64)
@@ -43,52 +37,46 @@ def gram_hashes(ids: np.ndarray, n: int = GRAM) -> np.ndarray:
     return h.view(np.int64)
 
 
-class _Hasher:
-    """Word hashes with a memo of bounded size."""
-
-    def __init__(self, most: int = 200_000) -> None:
-        self.memo: dict[str, int] = {}
-        self.most = most
-
-    def __call__(self, ws: list[str]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        return np.fromiter((memo[w] if w in memo else memo.setdefault(w, _word_hash(w)) for w in ws), dtype=np.uint64, count=len(ws))
-
-
-def _grams(df: DataFrame, key: str, text: str, only: np.ndarray | None, with_text: bool) -> DataFrame:
-    """Rows with at least one gram (of ``only``, sorted, if given): key, [text], hits array<struct<pos, gram>>."""
+def _grams(df: DataFrame, key: str, text: str, bits: np.ndarray | None = None) -> DataFrame:
+    """Rows with a gram (that passes the filter ``bits``, if given): key, words array<bigint>, hits array<struct<pos, gram>>."""
     hit = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("gram", T.LongType())]))
-    fields = [T.StructField("key", df.schema[key].dataType)] + [T.StructField("text", T.StringType())] * with_text + [T.StructField("hits", hit)]
-    schema = T.StructType(fields)
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("hits", hit)])
+
+    def some(keys: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+        hashes, at = codes.words(texts)
+        g = gram_hashes(hashes)
+        inside = np.repeat(np.arange(len(texts)), np.diff(at))  # the text of each word
+        ok = inside[: len(g)] == inside[GRAM - 1 :][: len(g)] if len(g) else np.empty(0, dtype=bool)
+        if bits is not None:
+            place = g.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            ok &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        pos = np.flatnonzero(ok)
+        row = inside[pos]
+        rows, sizes = np.unique(row, return_counts=True)
+        offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        length = at[rows + 1] - at[rows]
+        kept = np.repeat(at[rows] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(rows) else np.empty(0, dtype=np.int64)
+        values = pa.StructArray.from_arrays([pa.array((pos - at[row]).astype(np.int32)), pa.array(g[pos])], names=["pos", "gram"])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.ListArray.from_arrays(offsets(length), pa.array(hashes[kept])), pa.ListArray.from_arrays(offsets(sizes), values)], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hasher()
         for b in batches:
-            rows, pos, gram, sizes = [], [], [], []
-            for i, t in enumerate(b.column(1)):
-                g = gram_hashes(hashes(words(t.as_py())))
-                if only is None:
-                    at = np.arange(len(g))
-                elif len(only) and len(g):
-                    at = np.flatnonzero(only[np.minimum(np.searchsorted(only, g), len(only) - 1)] == g)
-                else:
-                    continue
-                if len(at):
-                    rows.append(i)
-                    pos.append(at)
-                    gram.append(g[at])
-                    sizes.append(len(at))
-            take = pa.array(rows, pa.int64())
-            values = pa.StructArray.from_arrays([pa.array(np.concatenate(pos) if pos else [], pa.int32()), pa.array(np.concatenate(gram) if gram else [], pa.int64())], names=["pos", "gram"])
-            hits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
-            cols = [b.column(0).take(take)] + [b.column(1).take(take).cast(pa.string())] * with_text + [hits]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            for at in range(0, b.num_rows, 512):
+                s = b.slice(at, 512)
+                yield some(s.column(0), s.column(1).to_pylist())
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
+def _filter(grams: DataFrame) -> np.ndarray:
+    """One bit per hash value the grams take, in 2**FILTER_BITS bits: of that size however many grams there are."""
+    rows = grams.select(F.expr(f"shiftrightunsigned(gram, {64 - FILTER_BITS}) AS place")).selectExpr("CAST(shiftright(place, 3) AS INT) AS at", "shiftleft(1, CAST(place & 7 AS INT)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bit"))
+    t = rows.toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    bits[t.column(0).to_numpy()] = t.column(1).to_numpy().astype(np.uint8)
+    return bits
+
+
 def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int, int]:
     """Smith-Waterman over words with linear gaps: best score, its end in a and in b, and the longest common run.
 
@@ -122,6 +110,48 @@ def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap:
     return *best, longest
 
 
+def scores(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 15) -> np.ndarray:
+    """The best score of ``align`` of many pairs of word numbers (all at least 0).
+
+    Pairs of similar length run side by side. A step takes one anti-diagonal of all of them, so no place waits for its
+    neighbour; shorter pairs are filled up with numbers that match nothing, where no score grows.
+    """
+    got = np.zeros(len(pairs), dtype=np.int64)
+    short = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
+    left = sorted((k for k, (a, _) in enumerate(short) if len(a)), key=lambda k: (len(short[k][0]), len(short[k][1])))
+    while left:
+        lanes = len(short[left[-1]][0])
+        group = left[-max(1, cells // lanes) :]
+        while len(group) > 1 and len(short[group[0]][0]) * 4 < lanes * 3:  # not too unlike
+            group = group[-(len(group) // 2) :]
+        del left[-len(group) :]
+        width, size = max(len(short[k][1]) for k in group), len(group)
+        kind = np.int16 if lanes < 16_000 else np.int32
+        a = np.full((lanes, size), -1, dtype=np.int32)
+        # the longer sides backwards, so that a diagonal is one stretch of them
+        b = np.full((width + 2 * lanes, size), -2, dtype=np.int32)
+        for r, k in enumerate(group):
+            x, y = short[k]
+            a[: len(x), r] = x
+            b[lanes + width - len(y) : lanes + width, r] = y[::-1]
+        before, last, new = (np.zeros((lanes + 1, size), dtype=kind) for _ in range(3))
+        best, same, gain = np.zeros((lanes, size), dtype=kind), np.empty((lanes, size), dtype=bool), np.empty((lanes, size), dtype=kind)
+        for d in range(lanes + width - 1):
+            at = lanes + width - 1 - d
+            np.equal(a, b[at : at + lanes], out=same)
+            np.multiply(same, kind(3), out=gain)
+            gain += before[:-1]
+            inner = new[1:]
+            np.maximum(last[:-1], last[1:], out=inner)
+            np.maximum(inner, gain, out=inner)
+            inner -= 1
+            np.maximum(inner, 0, out=inner)
+            np.maximum(best, inner, out=best)
+            before, last, new = last, new, before
+        got[group] = best.max(axis=0)
+    return got
+
+
 def align_many(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 15) -> list[tuple[int, int, int, int]]:
     """``align`` of many pairs of word numbers (all at least 0): pairs of similar length run side by side, a row of each at a time.
 
@@ -166,48 +196,58 @@ def align_many(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 15)
     return got
 
 
-def leaks(corpus: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, most_broadcast: int = 4_000_000) -> DataFrame:
-    """Pairs of a corpus row and a test item that share five consecutive words, with their alignment.
+def leaks(corpus: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, least_score: int = 24, least_share: float = 0.25) -> DataFrame:
+    """Pairs of a corpus row and a test item that align with ``least_score`` or ``least_share`` at least.
 
     key, item_key, score (Smith-Waterman over words: match 2, mismatch and gap -1), share (score over the item's best
     possible score), doc_end and item_end (words up to the end of the best alignment), longest_run (most consecutive
-    common words). A seed is any gram the two share, whichever it is and however many rows hold it: an edit removes only
-    the grams across it, so every copy is there that keeps five words in a row.
-
-    One scan of the corpus keeps only rows holding a gram of the test items. The sorted gram hashes go along with the
-    scan only up to ``most_broadcast`` grams (32 MB); beyond that, all grams of the corpus meet them in a shuffled
-    join. Null and empty texts have no words and no pairs, nor have items under five words; a repeated row counts
-    again as a row but gives its pair once.
+    common words). A run of n common words scores 2n. A seed is any gram of five words the two share, whichever it is and
+    however many rows hold it, so each pair has its rarest: an edit removes only the grams across it, and every copy is
+    found that keeps five words in a row.
+
+    One scan of the corpus keeps the rows with a gram that passes a filter of fixed size, whatever the number of items; an exact join
+    on grams follows. Only the surroundings of seeds are aligned, not whole texts: seeds fall into tiles of a row of four
+    times the item's length, and a tile is aligned with three such lengths around it, which no alignment through
+    its seeds can exceed. Null and empty texts have no words and no pairs, nor have items under five words; a repeated
+    row gives its pair once. The filter and the cut of lineage run jobs when this is called.
     """
-    item = items.select(F.col(item_key).alias("item_key"), F.col(item_text).alias("item_text")).filter("item_key is not null").distinct()
-    bench = _grams(item, "item_key", "item_text", None, False)
-    distinct = bench.select(F.explode("hits.gram").alias("gram")).distinct()
-    few = [r.gram for r in distinct.limit(most_broadcast + 1).collect()]
-    if len(few) <= most_broadcast:
-        found = _grams(corpus, key, text, np.sort(np.array(few, dtype=np.int64)), True)
-    else:
-        every = _grams(corpus, key, text, None, True).withColumn("u", F.uuid())
-        every = checkpointed(every)
-        kept = every.select("u", F.inline("hits")).join(distinct, "gram", "left_semi").groupBy("u").agg(F.collect_list(F.struct("pos", "gram")).alias("hits"))
-        found = every.drop("hits").join(kept, "u").drop("u")
-    hits = checkpointed(found.withColumn("rid", F.monotonically_increasing_id()))
-    grams = bench.select(F.col("key").alias("item"), F.explode(F.array_distinct("hits.gram")).alias("gram"))
-    pairs = hits.select("rid", F.explode(F.array_distinct("hits.gram")).alias("gram")).join(grams, "gram").select("rid", "item").distinct()
-    both = pairs.join(hits.select("rid", "key", "text"), "rid").join(item, F.col("item") == F.col("item_key")).select("key", "item_key", "text", "item_text")
+    spark = corpus.sparkSession
+    item = items.select(F.col(item_key).alias("item_key"), F.col(item_text).alias("item_text")).filter("item_key is not null and item_text is not null").distinct()
+    bench = checkpointed(_grams(item, "item_key", "item_text").withColumn("item", F.monotonically_increasing_id()))
+    grams = bench.select("item", F.size("words").alias("len"), F.explode(F.array_distinct("hits.gram")).alias("gram"))
+    hits = checkpointed(_grams(corpus, key, text, _filter(grams)).withColumn("rid", F.monotonically_increasing_id()))
+    tile = F.greatest(F.lit(512), F.col("len") * 4)
+    tiles = hits.select("rid", F.inline("hits")).join(grams, "gram").select("rid", "item", "len", F.floor(F.col("pos") / tile).cast("int").alias("tile"), tile.alias("wide")).distinct()
+    begin = F.greatest(F.lit(0), F.col("tile") * F.col("wide") - 3 * F.col("len"))
+    end = (F.col("tile") + 1) * F.col("wide") + 3 * F.col("len")
+    both = (
+        tiles.join(hits.select("rid", "key", "words"), "rid").select("item", "key", begin.alias("begin"), F.slice("words", begin + 1, end - begin).alias("words"))
+        .join(bench.select("item", F.col("key").alias("item_key"), F.col("words").alias("item_words")), "item").select("key", "item_key", "begin", "words", "item_words")
+    )
     # alignment costs far more than its rows are large: keep every core busy
-    both = both.repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "item_key")
-    schema = T.StructType([T.StructField(key, corpus.schema[key].dataType), T.StructField(item_key, items.schema[item_key].dataType)] + [T.StructField("score", T.IntegerType()), T.StructField("share", T.DoubleType())] + [T.StructField(c, T.IntegerType()) for c in ("doc_end", "item_end", "longest_run")])
+    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "item_key", "begin")
+    schema = T.StructType([T.StructField("key", corpus.schema[key].dataType), T.StructField("item_key", items.schema[item_key].dataType)] + [T.StructField("score", T.IntegerType()), T.StructField("share", T.DoubleType())] + [T.StructField(c, T.IntegerType()) for c in ("doc_end", "item_end", "longest_run")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
-            known: dict[str, int] = {}
-            number = lambda t: np.array([known.setdefault(w, len(known)) for w in words(t)], dtype=np.int32)  # noqa: B023, E731
-            item_words = {u: number(u) for u in set(b.column(3).to_pylist())}
-            sides = [(number(t.as_py()), item_words[u.as_py()]) for t, u in zip(b.column(2), b.column(3))]
-            got = [(s, s / (2 * len(y)), i, j, longest) for (_, y), (s, i, j, longest) in zip(sides, align_many(sides))]
-            cols = list(zip(*got)) or [[]] * 5
+        for b in (whole.slice(at, 2048) for whole in batches for at in range(0, whole.num_rows, 2048)):
+            flat = [b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (3, 4)]
+            number = np.unique(np.concatenate(flat), return_inverse=True)[1].astype(np.int32)
+            sides = []
+            for k, first in ((3, 0), (4, len(flat[0]))):
+                at = first + np.concatenate([[0], np.cumsum(b.column(k).value_lengths().to_numpy(zero_copy_only=False))])
+                sides.append([number[i:j] for i, j in zip(at, at[1:])])
+            pairs = list(zip(*sides))
+            score = scores(pairs)
+            best = 2 * np.array([len(y) for y in sides[1]], dtype=np.int64)
+            rows = np.flatnonzero((score >= least_score) | (score >= least_share * best))
+            got = align_many([pairs[k] for k in rows])
+            take = pa.array(rows)
+            first = b.column(2).take(take).to_numpy(zero_copy_only=False)
+            cols = np.array(got, dtype=np.int32).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.float64()), *[pa.array(c, pa.int32()) for c in cols[2:]]], names=schema.names
+                [b.column(0).take(take), b.column(1).take(take), pa.array(cols[:, 0]), pa.array(cols[:, 0] / best[rows]), pa.array((cols[:, 1] + first).astype(np.int32)), pa.array(cols[:, 2]), pa.array(cols[:, 3])], names=schema.names
             )
 
-    return both.mapInArrow(run, schema).dropDuplicates([key, item_key])
+    top = F.max(F.struct("score", "share", "doc_end", "item_end")).alias("top")
+    found = both.mapInArrow(run, schema).groupBy("key", "item_key").agg(top, F.max("longest_run").alias("longest_run"))
+    return found.select(F.col("key").alias(key), F.col("item_key").alias(item_key), "top.*", "longest_run")

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellora.llm.codes import join_hashes, points, run_hashes, runs
+
 # Frequent function words, and characters of that use in Chinese.
 COMMON = frozenset(
     """the a an and or but of to in on at for with from by is are was were be been it its this that my your our i me we you he she they not no so if as than then too very have has had do does did would could will can all more one after since mine what who when which there just only even about out up over
@@ -59,8 +61,6 @@ _PLAIN = set(".,!?;:'\"’“”„«»‘()-–—…¿¡。，！？、；：
 #: Vowels of alphabets that write them; their other letters are consonants.
 _VOWELS = set("aeiouyæœøıəαεηιουωаеёиоуыэюяіїєў")
 _BITS = {b: np.uint32(1 << i) for i, b in enumerate(["space", "letter", "digit", "symbol", "cjk", "cjk_common", "kana", "tab", "pipe", "word", "consonant", "unspaced", *_SETS])}
-_B = np.uint64(0x9E3779B97F4A7C15)
-_B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 
 
 @lru_cache
@@ -99,23 +99,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return cls, low
 
 
-@lru_cache(maxsize=4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse modulo 2**64."""
-    up, down = np.full(size, _B), np.full(size, _B_INVERSE)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
 @lru_cache
 def _common_hashes() -> np.ndarray:
-    out = []
-    for w in COMMON:
-        h = 0
-        for c in w:
-            h = (h * int(_B) + ord(c) + 1) % (1 << 64)
-        out.append(h)
-    return np.sort(np.array(out, dtype=np.uint64))
+    return np.sort(np.array([run_hashes(points(w), np.array([0]), np.array([len(w)]))[0] for w in COMMON], dtype=np.uint64))
 
 
 def _is_common(h: np.ndarray) -> np.ndarray:
@@ -127,10 +113,6 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(58)).astype(np.int64)
 
 
-def _points(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-
-
 #: Counts of a run of characters without blanks, before it is known whether it is a word, a link, markup or noise.
 RAW = ("length", "unspaced", "ascii", "words", "word_chars", "common", "odd", "marks", "angles", "at_any", "at", "dot", "url", "tag")
 R = {c: i for i, c in enumerate(RAW)}
@@ -175,7 +157,7 @@ def _border(a: str, b: str) -> dict[str, int]:
     """What joining the ends a and b adds to each pattern of neighbouring characters."""
     sums = []
     for x in (a + b, a, b):
-        cp = _points(x)
+        cp = points(x)
         sums.append({k: int(v.sum()) for k, v in _near(cp, _tables()[0][cp]).items()})
     return {k: sums[0][k] - sums[1][k] - sums[2][k] for k in sums[0]}
 
@@ -191,7 +173,7 @@ class Counted:
         """With ``borders`` a text's first, inner and last lines are groups of their own, and what its tokens are made of is kept."""
         cls_table, low_table = _tables()
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        cp = _points("\n".join(texts) + "\n")
+        cp = points("\n".join(texts) + "\n")
         n = len(cp)
         sep = np.cumsum(sizes + 1) - 1
         is_sep = np.zeros(n + 1, dtype=bool)
@@ -228,10 +210,11 @@ class Counted:
         out[:, C["hard"]] = np.bincount(line_of[hard], weights=near["hard"][hard], minlength=lines)
         out[:, C["chars"]] = stop_at - start
         # tokens: runs without blanks
-        edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
-        t_start, t_end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        t_start, t_end = runs(solid)
         k = len(t_start)
-        tok_of = np.cumsum(edge[:-1] == 1) - 1
+        opens = np.zeros(n, dtype=np.int8)
+        opens[t_start] = 1
+        tok_of = np.cumsum(opens, dtype=np.int64) - 1
         t_line = line_of[t_start]
         same = np.flatnonzero(t_line[1:] == t_line[:-1]) if k else np.empty(0, dtype=np.int64)
         wide = same[t_start[same + 1] - t_end[same] >= 3]
@@ -264,12 +247,9 @@ class Counted:
         if mixed.any():
             raw[:, R["ascii"]] = per_token(solid & (cp < 128))
         # words: runs of letters that are no ideographs
-        edge = np.diff(np.concatenate([[False], letter & ~cjk, [False]]).astype(np.int8))
-        w_start, w_end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = _powers(1 << max(13, int(n).bit_length()))
-        low = low_table[cp].astype(np.uint64) + np.uint64(1)
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(low * down[:n])])
-        w_hash = (total[w_end] - total[w_start]) * up[w_end - 1]
+        low = low_table[cp]
+        w_start, w_end = runs(letter & ~cjk)
+        w_hash = run_hashes(low, w_start, w_end)
         w_tok = tok_of[w_start]
         raw[:, R["words"]] = np.bincount(w_tok, minlength=k)
         raw[:, R["word_chars"]] = np.bincount(w_tok, weights=w_end - w_start, minlength=k)
@@ -280,13 +260,13 @@ class Counted:
         c_at = np.flatnonzero(cjk)
         c_at = c_at[counted[tok_of[c_at]]]
         kept = counted[w_tok]
-        cell = np.concatenate([group_of[line_of[w_start[kept]]] * _BUCKETS + _bucket(w_hash[kept]), group_of[line_of[c_at]] * _BUCKETS + _bucket(low[c_at])])
+        cell = np.concatenate([group_of[line_of[w_start[kept]]] * _BUCKETS + _bucket(w_hash[kept]), group_of[line_of[c_at]] * _BUCKETS + _bucket(low[c_at] + np.uint64(1))])
         self.h = np.bincount(cell, minlength=groups * _BUCKETS).reshape(groups, _BUCKETS)
         self.n = out
         if borders:
             c_all = np.flatnonzero(cjk)
             self.raw, self.t_line, self.t_start, self.t_end = raw, t_line, t_start, t_end
-            self.words, self.ideographs = (w_tok, w_start, w_end, w_hash), (tok_of[c_all], low[c_all])
+            self.words, self.ideographs = (w_tok, w_start, w_end, w_hash), (tok_of[c_all], low[c_all] + np.uint64(1))
 
 
 def _word(length: int, h: int) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +302,7 @@ class Token:
             t.one = int(size[0]) == len(s)
         if len(begin) and begin[-1] + size[-1] == len(s) and not t.one:
             t.right = (int(size[-1]), int(hashes[-1]))
-        t.raw[R["ascii"]] = np.count_nonzero(_points(s) < 128)
+        t.raw[R["ascii"]] = np.count_nonzero(points(s) < 128)
         for x in (t.left, t.right):
             if x:
                 raw, h = _word(*x)
@@ -347,7 +327,7 @@ class Token:
         a, b = (self.left if self.one else self.right), o.left
         both = None
         if a and b:
-            both = (a[0] + b[0], (a[1] * pow(int(_B), b[0], 1 << 64) + b[1]) % (1 << 64))
+            both = (a[0] + b[0], join_hashes(a[1], b[1], b[0]))
         middle = both or a or b
         r.one = self.one and o.one
         r.left, r.right = self.left, o.right

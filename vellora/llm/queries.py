@@ -82,7 +82,26 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @Q.add()
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Aligned pairs, edited copies included: a score of at least 24 (twelve words) or a quarter of the item."""
-    return _leaks(spark, d).filter("score >= 24 or share >= 0.25").select("doc_id", "item_id", "score", F.round("share", 4).alias("share"), "longest_run")
+    return _leaks(spark, d).select("doc_id", "item_id", "score", F.round("share", 4).alias("share"), "longest_run")
+
+
+def edited_copies(spark: SparkSession, d: str, every: list[int]) -> DataFrame:
+    """A copy of each test item between other words, for each n of ``every`` with each n-th word replaced: every, item_id, text."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    items = table(spark, d, "benchmark").filter("item_id is not null").select("item_id", words.alias("w"), F.explode(F.array([F.lit(n) for n in every])).alias("every"))
+    edited = F.transform("w", lambda x, i: F.when((i + 1) % F.col("every") == 0, F.concat(F.lit("zq"), i.cast("string"))).otherwise(x))
+    return items.filter(F.size("w") >= 24).select("every", "item_id", F.concat_ws(" ", F.lit("before it"), F.array_join(edited, " "), F.lit("and after")).alias("text")).distinct()
+
+
+@Q.add(
+    sql=f"WITH w AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL) SELECT every, count(*) AS planted, count(*) AS found FROM w, (SELECT unnest([6, 8, 10, 12]) AS every) WHERE len(w) >= 24 GROUP BY every"
+)
+def p6_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of edited copies of the test items, by rate of edits: copies planted, and those found with their own item."""
+    copies = edited_copies(spark, d, [6, 8, 10, 12]).withColumn("copy", F.concat_ws("/", "every", "item_id"))
+    found = lk.leaks(copies, table(spark, d, "benchmark"), "copy", "text", "item_id", "text").withColumnRenamed("item_id", "other")
+    own = copies.join(found, "copy", "left").groupBy("every", "copy", "item_id").agg(F.max((F.col("other") == F.col("item_id")).cast("int")).alias("hit"))
+    return own.groupBy("every").agg(F.count("*").alias("planted"), F.sum(F.coalesce("hit", F.lit(0))).alias("found"))
 
 
 @Q.add()
