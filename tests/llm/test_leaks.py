@@ -90,9 +90,10 @@ def test_tiles_of_long_texts_give_the_alignment_of_the_whole(spark):
 def test_alignment_of_many_is_that_of_each():
     rng = random.Random(4)
     pairs = [tuple(np.array([rng.randrange(6) for _ in range(rng.randrange(30))], dtype=np.int32) for _ in range(2)) for _ in range(200)]
+    pairs += [tuple(np.array([rng.randrange(90) for _ in range(n)], dtype=np.int32) for n in (130, 400))] + [(np.arange(500, dtype=np.int32),) * 2]
     for cells in (1, 100, 1 << 15):
         assert lk.align_many(pairs, cells) == [lk.align(a, b) for a, b in pairs]
-        assert lk.scores(pairs, cells).tolist() == [lk.align(a, b)[0] for a, b in pairs]
+        assert lk.scores([tuple(x.astype(np.int16) for x in p) for p in pairs], cells).tolist() == [lk.align(a, b)[0] for a, b in pairs]
 
 
 def test_edited_copies_without_and_beside_intact_ones(spark):

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,8 @@ _WORD = re.compile(r"[^\W_]+")
 GRAM = 5
 #: Size of the filter of the test items' grams, as a power of two: 2 MB of bits.
 FILTER_BITS = 24
+#: Bytes of words of the test items up to which they are broadcast.
+MOST_BROADCAST = 32 << 20
 
 
 def words(text: str | None) -> list[str]:
@@ -77,6 +79,11 @@ def _filter(grams: DataFrame) -> np.ndarray:
     return bits
 
 
+def _slices(column: str, size: int) -> Column:
+    """An array in arrays of at most ``size`` elements."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(column) - 1) / size).cast("int")), lambda k: F.slice(column, k * size + 1, size))
+
+
 def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int, int]:
     """Smith-Waterman over words with linear gaps: best score, its end in a and in b, and the longest common run.
 
@@ -110,42 +117,44 @@ def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap:
     return *best, longest
 
 
-def scores(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 15) -> np.ndarray:
-    """The best score of ``align`` of many pairs of word numbers (all at least 0).
+def scores(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 16) -> np.ndarray:
+    """The best score of ``align`` of many pairs of small word numbers (int16, all at least 0).
 
     Pairs of similar length run side by side. A step takes one anti-diagonal of all of them, so no place waits for its
     neighbour; shorter pairs are filled up with numbers that match nothing, where no score grows.
     """
     got = np.zeros(len(pairs), dtype=np.int64)
     short = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
-    left = sorted((k for k, (a, _) in enumerate(short) if len(a)), key=lambda k: (len(short[k][0]), len(short[k][1])))
+    left = sorted((k for k, (a, _) in enumerate(short) if len(a)), key=lambda k: (len(short[k][0]) // 8, len(short[k][1])))
     while left:
         lanes = len(short[left[-1]][0])
         group = left[-max(1, cells // lanes) :]
         while len(group) > 1 and len(short[group[0]][0]) * 4 < lanes * 3:  # not too unlike
             group = group[-(len(group) // 2) :]
         del left[-len(group) :]
-        width, size = max(len(short[k][1]) for k in group), len(group)
-        kind = np.int16 if lanes < 16_000 else np.int32
-        a = np.full((lanes, size), -1, dtype=np.int32)
+        lanes, width, size = max(len(short[k][0]) for k in group), max(len(short[k][1]) for k in group), len(group)
+        kind = np.uint8 if lanes < 125 else np.uint16 if lanes < 32_000 else np.uint32  # of scores: at most 2 a word, 3 more on the way
+        a = np.full((size, lanes), -1, dtype=np.int16)
         # the longer sides backwards, so that a diagonal is one stretch of them
-        b = np.full((width + 2 * lanes, size), -2, dtype=np.int32)
+        b = np.full((size, width + 2 * lanes), -2, dtype=np.int16)
         for r, k in enumerate(group):
             x, y = short[k]
-            a[: len(x), r] = x
-            b[lanes + width - len(y) : lanes + width, r] = y[::-1]
+            a[r, : len(x)] = x
+            b[r, lanes + width - len(y) : lanes + width] = y[::-1]
+        a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
         before, last, new = (np.zeros((lanes + 1, size), dtype=kind) for _ in range(3))
         best, same, gain = np.zeros((lanes, size), dtype=kind), np.empty((lanes, size), dtype=bool), np.empty((lanes, size), dtype=kind)
+        three, one = kind(3), kind(1)
         for d in range(lanes + width - 1):
             at = lanes + width - 1 - d
             np.equal(a, b[at : at + lanes], out=same)
-            np.multiply(same, kind(3), out=gain)
+            np.multiply(same.view(np.uint8), three, out=gain)
             gain += before[:-1]
             inner = new[1:]
             np.maximum(last[:-1], last[1:], out=inner)
             np.maximum(inner, gain, out=inner)
-            inner -= 1
-            np.maximum(inner, 0, out=inner)
+            np.maximum(inner, one, out=inner)
+            inner -= one
             np.maximum(best, inner, out=best)
             before, last, new = last, new, before
         got[group] = best.max(axis=0)
@@ -205,45 +214,57 @@ def leaks(corpus: DataFrame, items: DataFrame, key: str, text: str, item_key: st
     however many rows hold it, so each pair has its rarest: an edit removes only the grams across it, and every copy is
     found that keeps five words in a row.
 
-    One scan of the corpus keeps the rows with a gram that passes a filter of fixed size, whatever the number of items; an exact join
-    on grams follows. Only the surroundings of seeds are aligned, not whole texts: seeds fall into tiles of a row of four
-    times the item's length, and a tile is aligned with three such lengths around it, which no alignment through
-    its seeds can exceed. Null and empty texts have no words and no pairs, nor have items under five words; a repeated
-    row gives its pair once. The filter and the cut of lineage run jobs when this is called.
+    One scan of the corpus keeps the rows with a gram that passes a filter of fixed size, whatever the number of items;
+    an exact join on grams follows. Only the surroundings of seeds are aligned, not whole texts: seeds fall into tiles of
+    at least four times the item's length, and a tile is aligned with three quarters of a tile on both sides, which no
+    alignment through its seeds can exceed. A tile's words travel once for some 256 items. Scores on numbers of 15 bits
+    come first; as they are never too low, only pairs that reach a bound by them are aligned in full. Null and empty
+    texts have no words and no pairs, nor have items under five words; a repeated row gives its pair once. The words of
+    the items are broadcast up to MOST_BROADCAST bytes, which is measured. The filter and the cut of lineage run jobs
+    when this is called.
     """
     spark = corpus.sparkSession
     item = items.select(F.col(item_key).alias("item_key"), F.col(item_text).alias("item_text")).filter("item_key is not null and item_text is not null").distinct()
     bench = checkpointed(_grams(item, "item_key", "item_text").withColumn("item", F.monotonically_increasing_id()))
-    grams = bench.select("item", F.size("words").alias("len"), F.explode(F.array_distinct("hits.gram")).alias("gram"))
+    total = bench.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("words") * 8 + 64), F.lit(0)).alias("bytes")).first()
+    wide = F.greatest(F.lit(512), F.pow(F.lit(2), F.ceil(F.log2(F.size("words") * 4))).cast("int"))
+    grams = bench.select("item", wide.alias("wide"), F.explode(F.array_distinct("hits.gram")).alias("gram"))
     hits = checkpointed(_grams(corpus, key, text, _filter(grams)).withColumn("rid", F.monotonically_increasing_id()))
-    tile = F.greatest(F.lit(512), F.col("len") * 4)
-    tiles = hits.select("rid", F.inline("hits")).join(grams, "gram").select("rid", "item", "len", F.floor(F.col("pos") / tile).cast("int").alias("tile"), tile.alias("wide")).distinct()
-    begin = F.greatest(F.lit(0), F.col("tile") * F.col("wide") - 3 * F.col("len"))
-    end = (F.col("tile") + 1) * F.col("wide") + 3 * F.col("len")
-    both = (
-        tiles.join(hits.select("rid", "key", "words"), "rid").select("item", "key", begin.alias("begin"), F.slice("words", begin + 1, end - begin).alias("words"))
-        .join(bench.select("item", F.col("key").alias("item_key"), F.col("words").alias("item_words")), "item").select("key", "item_key", "begin", "words", "item_words")
-    )
+    found = hits.select("rid", F.inline("hits")).join(grams, "gram").select("rid", "item", "wide", F.floor(F.col("pos") / F.col("wide")).cast("int").alias("tile")).distinct()
+    some = F.pmod(F.xxhash64("item"), F.lit(1 + total.n // 256)).alias("some")
+    tiles = found.groupBy("rid", "wide", "tile", some).agg(F.collect_list("item").alias("items"))
+    begin = F.greatest(F.lit(0), F.col("tile") * F.col("wide") - (F.col("wide") * 3 / 4).cast("int"))
+    end = (F.col("tile") + 1) * F.col("wide") + (F.col("wide") * 3 / 4).cast("int")
+    bands = tiles.join(hits.select("rid", "key", "words"), "rid").select("key", begin.alias("begin"), F.slice("words", begin + 1, end - begin).alias("words"), "items")
+    sides = bench.select("item", F.col("key").alias("item_key"), F.col("words").alias("item_words"))
+    if total.bytes <= MOST_BROADCAST:
+        sides = F.broadcast(sides)
     # alignment costs far more than its rows are large: keep every core busy
-    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "item_key", "begin")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = bands.select("key", "begin", "words", F.explode(_slices("items", 16)).alias("items")).repartition(parts, "key", "begin", "items")
+    both = both.withColumn("item", F.explode("items")).join(sides, "item").select("key", "item_key", "begin", "words", "item_words")
     schema = T.StructType([T.StructField("key", corpus.schema[key].dataType), T.StructField("item_key", items.schema[item_key].dataType)] + [T.StructField("score", T.IntegerType()), T.StructField("share", T.DoubleType())] + [T.StructField(c, T.IntegerType()) for c in ("doc_end", "item_end", "longest_run")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, 2048) for whole in batches for at in range(0, whole.num_rows, 2048)):
-            flat = [b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (3, 4)]
-            number = np.unique(np.concatenate(flat), return_inverse=True)[1].astype(np.int32)
-            sides = []
-            for k, first in ((3, 0), (4, len(flat[0]))):
-                at = first + np.concatenate([[0], np.cumsum(b.column(k).value_lengths().to_numpy(zero_copy_only=False))])
-                sides.append([number[i:j] for i, j in zip(at, at[1:])])
-            pairs = list(zip(*sides))
-            score = scores(pairs)
-            best = 2 * np.array([len(y) for y in sides[1]], dtype=np.int64)
-            rows = np.flatnonzero((score >= least_score) | (score >= least_share * best))
-            got = align_many([pairs[k] for k in rows])
+            exact, small = [], []
+            for k in (3, 4):
+                flat = b.column(k).flatten().to_numpy(zero_copy_only=False)
+                at = np.concatenate([[0], np.cumsum(b.column(k).value_lengths().to_numpy(zero_copy_only=False))])
+                low = (flat & 0x7FFF).astype(np.int16)
+                exact.append([flat[i:j] for i, j in zip(at, at[1:])])
+                small.append([low[i:j] for i, j in zip(at, at[1:])])
+            best = 2 * np.fromiter(map(len, exact[1]), dtype=np.int64, count=b.num_rows)
+            enough = lambda s, m: (s >= least_score) | (s >= least_share * m)
+            rows = np.flatnonzero(enough(scores(list(zip(*small))), best))
+            pairs = [(exact[0][k], exact[1][k]) for k in rows]
+            number = np.unique(np.concatenate([x for p in pairs for x in p] or [np.empty(0, dtype=np.int64)]), return_inverse=True)[1].astype(np.int32)
+            at = np.cumsum([0] + [len(x) for p in pairs for x in p])
+            cols = np.array(align_many([(number[at[k] : at[k + 1]], number[at[k + 1] : at[k + 2]]) for k in range(0, 2 * len(pairs), 2)]), dtype=np.int32).reshape(-1, 4)
+            sure = enough(cols[:, 0], best[rows])
+            rows, cols = rows[sure], cols[sure]
             take = pa.array(rows)
             first = b.column(2).take(take).to_numpy(zero_copy_only=False)
-            cols = np.array(got, dtype=np.int32).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(take), b.column(1).take(take), pa.array(cols[:, 0]), pa.array(cols[:, 0] / best[rows]), pa.array((cols[:, 1] + first).astype(np.int32)), pa.array(cols[:, 2]), pa.array(cols[:, 3])], names=schema.names
             )
