@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,6 +57,41 @@ def test_cut_is_at_the_change_of_topic():
     assert len("\n".join(a)) + 1 in [e for _, e, _ in p]
 
 
+def test_depth_comes_before_the_kind_of_place():
+    rng = random.Random(2)
+    topic = lambda ws, n: " ".join(" ".join(rng.choice(ws) for _ in range(8)).capitalize() + "." for _ in range(n))
+    a = topic("river bridge water dam flood boat pier quay".split(), 14)
+    b = topic("oven bread flour yeast salt crust loaf dough".split(), 30)
+    border = len(a) + 1
+    for feed in (70, 97, 150):  # a line feed a little further on, inside the second topic
+        at = b.index(". ", feed) + 1
+        text = a + " " + b[:at] + "\n" + b[at + 1 :]
+        assert border in [e for _, e, _ in check(text, 400, 20)]
+    # of equal valleys the line break is taken
+    flat = "one two three four five six. " * 40
+    text = flat[:580] + "\n" + flat[580:]
+    assert 581 in [e for _, e, _ in check(text, 300, 0)]
+
+
+def test_planted_topics(spark):
+    from vellora.llm.queries import Q
+
+    got = Q.queries["p3_topics"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) >= 8 and sum(r.off == 0 for r in got) >= 0.9 * len(got)
+
+
+def test_similarity_is_the_cosine_of_both_sides():
+    rng = random.Random(5)
+    t = sg._Terms(" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(900)))
+    places = np.array(sorted(rng.sample(range(0, 1500), 400)))
+    for width in (1, 7, 60):
+        for p, got in zip(places, t.similarity(places, width)):
+            m = int(np.searchsorted(t.at, p))
+            x, y = (np.bincount(z, minlength=512).astype(float) for z in (t.term[max(0, m - width) : m], t.term[m : m + width]))
+            norm = np.sqrt((x @ x) * (y @ y))
+            assert abs(got - (x @ y / norm if norm else 0)) < 1e-5
+
+
 def test_operator(spark):
     big = "Sentence with words. " * 200
     rows = [(1, "d", "h", ["a", None], big, "clash"), (1, "d", "h", ["a", None], big, "clash"), (2, "d", None, None, "short", None), (3, None, None, [], None, None), (4, "d", "", [], "", None)]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellora.functions.text import estimate_tokens
 from vellora.llm import leaks as lk
 from vellora.llm import lookalike as la
 from vellora.llm import packing as pk
@@ -42,6 +43,30 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).dropDuplicates(["doc_id", "block_idx", "piece_no"])
 
 
+def two_topics(spark: SparkSession, d: str, limit: int) -> DataFrame:
+    """Texts of two topics with a known border: volume, border (characters before the second topic), content.
+
+    Test items in order of a hash, some in English and then some in another language, each joined by a blank or, where its hash is even,
+    a line feed; the first topic has about three quarters of the limit.
+    """
+    items = table(spark, d, "benchmark").filter("text is not null and item_id is not null").select("item_id", "text", (F.col("lang") == "en").alias("en")).distinct()
+    place = F.row_number().over(Window.partitionBy("en").orderBy(F.xxhash64("item_id"), "text")) - 1  # of a table of fixed size
+    n = F.when(F.col("en"), F.lit(20)).otherwise(F.lit(4))
+    part = items.withColumn("place", place).withColumn("volume", F.floor(F.col("place") / n).cast("int")).withColumn("t", F.concat("text", F.when(F.xxhash64("item_id") % 2 == 0, F.lit("\n")).otherwise(F.lit(" "))))
+    joined = part.groupBy("volume", "en").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "t"))), lambda x: x["t"]), "").alias("t"))
+    a, b = joined.filter("en").select("volume", F.col("t").alias("a")), joined.filter("not en").select("volume", F.col("t").alias("b"))
+    a = a.withColumn("a", F.when(estimate_tokens(F.col("a")) * 4 > limit * 3, F.regexp_extract("a", r"(?s)^(.{%d}[^.!?]*[.!?]\s).*" % int(limit * 0.75 / 0.42), 1)).otherwise(F.col("a")))
+    return a.join(b, "volume").filter("a <> ''").select("volume", F.length("a").alias("border"), F.concat("a", F.repeat("b", 4)).alias("content"))
+
+
+@Q.add()
+def p3_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Cuts at planted borders of topics: characters between the border and the nearest end of a piece."""
+    limit = 2000
+    cut = sg.split_oversized(two_topics(spark, d, limit), "content", limit, 100)
+    return cut.groupBy("volume", "border").agg(F.min(F.abs(F.col("end_at") - F.col("border"))).alias("off"), F.count("*").alias("pieces"))
+
+
 _ITEMS = "SELECT DISTINCT item_id, doc_id, upper(trim(uuid, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288))) AS r, violation_text AS q FROM edit_items WHERE regexp_matches(violation_text, '[^\\t-\\r\\x{85}\\p{Z}]')"
 
 

@@ -74,12 +74,19 @@ class _Terms:
 
     def similarity(self, places: np.ndarray, width: int) -> np.ndarray:
         """Cosine of the ``width`` terms before and after each place; 0 where a side is empty."""
-        mid = np.searchsorted(self.at, places)
         out = np.zeros(len(places))
-        for i, m in enumerate(mid):
-            left, right = np.bincount(self.term[max(0, m - width) : m], minlength=_BUCKETS), np.bincount(self.term[m : m + width], minlength=_BUCKETS)
-            norm = np.sqrt(float(left @ left) * float(right @ right))
-            out[i] = left @ right / norm if norm else 0.0
+        for at in range(0, len(places), 256):  # bounded tables, however many places
+            mid = np.searchsorted(self.at, places[at : at + 256])
+            low, high = np.maximum(mid - width, 0), np.minimum(mid + width, len(self.at))
+            stops = np.unique(np.concatenate([low, mid, high]))
+            # terms counted between neighbouring stops, then summed up to each stop
+            inside = np.searchsorted(stops, np.arange(stops[0], stops[-1]), side="right")
+            counts = np.bincount(inside * _BUCKETS + self.term[stops[0] : stops[-1]], minlength=(len(stops) + 1) * _BUCKETS).reshape(-1, _BUCKETS)
+            upto = np.cumsum(counts, axis=0, dtype=np.float32)
+            a, b, c = (upto[np.searchsorted(stops, x)] for x in (low, mid, high))
+            left, right = b - a, c - b
+            norm = np.sqrt((left * left).sum(axis=1) * (right * right).sum(axis=1))
+            out[at : at + 256] = np.where(norm > 0, (left * right).sum(axis=1) / np.maximum(norm, 1e-9), 0.0)
         return out
 
 
@@ -104,8 +111,9 @@ def depths(sim: np.ndarray) -> np.ndarray:
 def cuts(text: str, limit: int, overlap: int, least: float = 0.5, width: int = 60) -> list[tuple[int, int, int]]:
     """Pieces (start, end, level of the cut at end) of a text, each at most ``limit`` in the size estimate.
 
-    Each cut lies in the window between ``least`` and all of the limit, at the most natural level present there, at
-    the deepest valley of lexical cohesion among the places of that level (the later one on ties). The next piece
+    Each cut lies in the window between ``least`` and all of the limit, at the deepest valley of lexical cohesion among
+    the natural places there: ends of lines and sentences, else of clauses, else of words, else between characters.
+    How natural a place is decides only between valleys within a tenth of the deepest, then their depth, then the later. The next piece
     starts up to ``overlap`` estimated tokens before the cut, at the most natural place giving at least half of it.
     """
     n = len(text)
@@ -128,12 +136,16 @@ def cuts(text: str, limit: int, overlap: int, least: float = 0.5, width: int = 6
         if level >= 4:
             c = next((p for p in range(hi, lo - 1, -1) if lv[p] == 4), hi)
         else:
-            # valleys are judged against all gaps of the level from the piece's start to just past the window
+            # valleys are judged against all gaps from the piece's start to just past the window
             reach = int(np.searchsorted(cum, cum[min(hi, n)] + most // 8))
-            gaps = np.flatnonzero(lv[start + 1 : reach + 1] <= level) + start + 1
-            score = depths(terms.similarity(gaps, width))
+            gaps = np.flatnonzero(lv[start + 1 : reach + 1] <= max(level, 1)) + start + 1
+            depth = depths(terms.similarity(gaps, width))
             ok = (gaps >= lo) & (gaps <= hi)
-            c = int(gaps[ok][len(score[ok]) - 1 - int(np.argmax(score[ok][::-1]))])
+            gaps, depth = gaps[ok], depth[ok]
+            near = depth >= 0.9 * depth.max() - 1e-9
+            gaps, depth = gaps[near], depth[near]
+            c = int(gaps[np.lexsort((gaps, depth, -lv[gaps]))[-1]])
+            level = int(lv[c])
         out.append((start, c, min(level, 4)))
         done = c
         nxt = c
