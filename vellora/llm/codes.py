@@ -47,6 +47,23 @@ def _alphanumeric() -> np.ndarray:
     return np.fromiter((chr(c).isalnum() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
+@lru_cache
+def _lower() -> np.ndarray:
+    return np.fromiter((ord(low) if len(low := chr(c).lower()) == 1 else c for c in range(0x110000)), dtype=np.uint32, count=0x110000)
+
+
+def terms(cp: np.ndarray, ideographs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of each term of a text, in order: runs of letters and digits in lower case, and single ideographs."""
+    alone = np.zeros(len(cp), dtype=bool)
+    for a, b in ideographs:
+        alone |= (cp >= a) & (cp <= b)
+    start, end = runs(_alphanumeric()[cp] & ~alone)
+    one = np.flatnonzero(alone)
+    start, end = np.concatenate([start, one]), np.concatenate([end, one + 1])
+    order = np.argsort(start, kind="stable")
+    return start[order], run_hashes(_lower()[cp], start, end)[order]
+
+
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of all texts in order (int64), and where the words of each text begin and end among them.
 

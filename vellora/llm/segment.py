@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -14,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellora.functions.text import estimate_tokens
+from vellora.llm import codes
 
 LEVELS = ("line", "sentence", "clause", "word", "char")
 #: Characters that end a sentence or a clause.
 _STOPS, _CLAUSES = ".!?。！？…", ",;:，、；："
-_TERM = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]|[^\W_]+")
+_IDEOGRAPHS = [(0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF)]
 _BUCKETS = 512
 
 
@@ -68,9 +67,8 @@ class _Terms:
     """Hashed terms of a text with their places, for similarities at gaps."""
 
     def __init__(self, text: str) -> None:
-        found = [(m.start(), hash_term(m.group())) for m in _TERM.finditer(text.lower())] if len(text.lower()) == len(text) else [(m.start(), hash_term(m.group().lower())) for m in _TERM.finditer(text)]
-        a = np.array(found, dtype=np.int64).reshape(-1, 2)
-        self.at, self.term = a[:, 0], a[:, 1]
+        self.at, term = codes.terms(codes.points(text), _IDEOGRAPHS)
+        self.term = (term >> np.uint64(64 - _BUCKETS.bit_length() + 1)).astype(np.int64)
 
     def similarity(self, places: np.ndarray, width: int) -> np.ndarray:
         """Cosine of the ``width`` terms before and after each place; 0 where a side is empty."""
@@ -81,8 +79,10 @@ class _Terms:
             stops = np.unique(np.concatenate([low, mid, high]))
             # terms counted between neighbouring stops, then summed up to each stop
             inside = np.searchsorted(stops, np.arange(stops[0], stops[-1]), side="right")
-            counts = np.bincount(inside * _BUCKETS + self.term[stops[0] : stops[-1]], minlength=(len(stops) + 1) * _BUCKETS).reshape(-1, _BUCKETS)
-            upto = np.cumsum(counts, axis=0, dtype=np.float32)
+            counts = np.bincount(inside * _BUCKETS + self.term[stops[0] : stops[-1]], minlength=(len(stops) + 1) * _BUCKETS)
+            upto = counts.astype(np.float32).reshape(-1, _BUCKETS)
+            for before, row in zip(upto, upto[1:]):
+                row += before
             a, b, c = (upto[np.searchsorted(stops, x)] for x in (low, mid, high))
             left, right = b - a, c - b
             norm = np.sqrt((left * left).sum(axis=1) * (right * right).sum(axis=1))
@@ -90,11 +90,6 @@ class _Terms:
         return out
 
 
-def hash_term(s: str) -> int:
-    """A stable bucket for a term."""
-    return zlib.crc32(s.encode("utf-8", "surrogatepass")) % _BUCKETS
-
-
 def depths(sim: np.ndarray) -> np.ndarray:
     """Depth of the valley at each gap: the climbs to the next peaks on both sides."""
 
@@ -117,7 +112,7 @@ def cuts(text: str, limit: int, overlap: int, least: float = 0.5, width: int = 6
     starts up to ``overlap`` estimated tokens before the cut, at the most natural place giving at least half of it.
     """
     n = len(text)
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    cp = codes.points(text)
     cum = np.concatenate([[0], np.cumsum(_weights(cp))])
     most, lap = budget(limit), overlap * 400 // 21
     if cum[n] <= most:
