@@ -18,6 +18,15 @@ PAIRS = [
     ("a​̈", "ä"),
     ("ӓ", "ä"),
     ("豈", unicodedata.normalize("NFC", "豈")),
+    ("ρорulаtιοn", "population"),
+    ("𝐁𝑜𝓵𝔡 𝟙𝟚", "Bold 12"),
+    ("Ⅳ ⅻ", "IV xii"),
+    ("25 ℃, № 7, ㎏", "25 °C, No 7, kg"),
+    ("2020–2024 a‒b", "2020-2024 a-b"),
+    ("“it’s”", "\"it's\""),
+    ("wait… now", "wait... now"),
+    ("ﻣﺮﺣﺒﺎ", "مرحبا"),
+    ("ﾊﾟｿｺﾝ", "パソコン"),
 ]
 
 
@@ -31,7 +40,7 @@ def test_same_on_the_page(spark):
 
 
 def test_visible_differences_stay(spark):
-    keep = ["Case", "case", "e", "é", "a  b", "a b", "x²", "①", "line\nbreak", "оно была" and "ж", "œ", "", "'quoted'", None]
+    keep = ["Case", "case", "e", "é", "a  b", "a b", "x²", "①", "½", "H₂O", "a—b", "™", "ﬁ" and "x", "line\nbreak", "оно была" and "ж", "œ", "", "'quoted'", None]
     assert forms(spark, keep) == keep
 
 

@@ -16,19 +16,22 @@ LOOKALIKES = {
     # Cyrillic
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W",
+    "ӏ": "l", "Ӏ": "I", "ѵ": "v", "Ѵ": "V", "ү": "y", "Ү": "Y", "ԍ": "G", "ԑ": "ɛ", "ԟ": "k",
     # Greek
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
+    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "α": "a", "γ": "y", "ι": "i", "κ": "k", "ρ": "p", "υ": "u", "χ": "x", "ϱ": "p", "ϰ": "k", "ϒ": "Y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    # Armenian, Latin
-    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "ɡ": "g", "ɑ": "a",
-    # hyphens
-    "‐": "-", "‑": "-", "﹣": "-", "－": "-", "−": "-",
+    # Armenian, Latin, Cherokee and Lisu capitals
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "յ": "j", "Օ": "O", "Ս": "U", "Լ": "L", "ɡ": "g", "ɑ": "a", "ı": "i", "ɩ": "i", "ʏ": "y",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮢ": "R", "Ꮪ": "S", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮩ": "V", "Ꮮ": "L",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # hyphens and dashes, quotation marks, other signs
+    "‐": "-", "‑": "-", "﹣": "-", "－": "-", "−": "-", "⁃": "-", "˗": "-", "Ⲻ": "-", "–": "-", "‒": "-", "﹘": "-", "―": "—",
+    "’": "'", "‘": "'", "‛": "'", "ʼ": "'", "ʹ": "'", "′": "'", "“": '"', "”": '"', "‟": '"', "″": '"', "⁄": "/", "∕": "/", "∶": ":", "ː": ":", "·": "·", "‧": "·", "∙": "·", "⋅": "·",
 }
 #: Ranges of characters that leave no mark on the page.
 INVISIBLE = [(0x00, 0x08), (0x0E, 0x1F), (0x7F, 0x84), (0x86, 0x9F), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF9, 0xFFFB), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
-#: Ranges whose compatibility form is the ordinary character (radicals and compatibility ideographs), and joined letters.
-IDEOGRAPHS = [(0x2E80, 0x2FDF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F)]
-JOINED = [(0x132, 0x133), (0x1C7, 0x1CC), (0x1F1, 0x1F3), (0xFB00, 0xFB06), (0xFB13, 0xFB17)]
+#: Kinds of compatibility form that are seen as something else than the ordinary character: raised, lowered, circled, turned, and fractions.
+DISTINCT = ("<super>", "<sub>", "<circle>", "<vertical>", "<fraction>", "<noBreak>")
 #: Blanks. A line break ends a paragraph on the page and is not one of them.
 BLANKS = [(0x09, 0x09), (0x0B, 0x0C), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 
@@ -57,17 +60,20 @@ def _fold(s: str) -> str:
 
 @lru_cache
 def folding() -> tuple[dict[str, str], dict[str, str]]:
-    """Character to character, and joined character to characters: from the Unicode decompositions by rule."""
+    """Character to character, and joined character to characters: from the Unicode decompositions by rule.
+
+    Every compatibility form is taken but those of DISTINCT and those that begin with a blank (spacing accents).
+    """
     one: dict[str, str] = {}
     many: dict[str, str] = {}
     blank, gone = {*_within(BLANKS)}, {*_within(INVISIBLE)}
-    for cp in range(0x80, 0x20000):
+    for cp in range(0x80, 0x30000):
         c = chr(cp)
         if c in blank or c in gone or 0xD800 <= cp < 0xE000 or 0xAC00 <= cp < 0xD7A4:
             continue
-        wide = unicodedata.decomposition(c).split(" ")[0] in ("<wide>", "<narrow>")
-        inside = any(a <= cp <= b for a, b in IDEOGRAPHS + JOINED)
-        t = _fold(unicodedata.normalize("NFKC", c) if wide or inside else c)
+        kind = unicodedata.decomposition(c).split(" ")[0]
+        compatible = unicodedata.normalize("NFKC", c)
+        t = _fold(compatible if kind not in DISTINCT and compatible[:1] != " " else c)
         if t != unicodedata.normalize("NFC", c):
             (one if len(t) == 1 else many)[c] = t
     return one, many
@@ -83,13 +89,14 @@ def form_sql() -> str:
     one, many = folding()
     inv, blank = _class(INVISIBLE), _class(BLANKS)
     composing = _class(_spans(cp for cp in range(0x300, 0x30000) if not 0xD800 <= cp < 0xE000 and (unicodedata.combining(chr(cp)) or unicodedata.category(chr(cp)) in ("Mn", "Mc") or 0x1160 <= cp < 0x1200 or unicodedata.normalize("NFC", chr(cp)) != chr(cp))))
-    joined = "t"
-    for c, to in many.items():
-        joined = f"replace({joined}, {_quote(c)}, {_quote(to)})"
+    # a joined character stands in a text between its neighbours: split off, each is looked up
+    table = "MAP {" + ", ".join(f"{_quote(c)}: {_quote(to)}" for c, to in many.items()) + "}"
+    names = _class(_spans(map(ord, many)))
+    joined = f"array_to_string(list_transform(regexp_extract_all(t, '{names}|[^{names[1:]}+'), lambda x: coalesce({table}[x], x)), '')"
     steps = [
         (inv, f"regexp_replace(t, '{inv}', '', 'g')"),
         (composing, "nfc_normalize(t)"),
-        (_class(_spans(map(ord, many))), joined),
+        (names, joined),
         (_class(_spans(map(ord, one))), f"translate(t, {_quote(''.join(one))}, {_quote(''.join(one.values()))})"),
         (composing, "nfc_normalize(t)"),
         (blank, f"regexp_replace(t, '{blank}', ' ', 'g')"),
@@ -103,8 +110,10 @@ def form_sql() -> str:
 def consistent(df: DataFrame, columns: dict[str, str], threads: int = 1, memory: str = "256MB") -> DataFrame:
     """Adds, for each ``source: name`` of ``columns``, the consistent form of the text column.
 
-    Invisible characters are dropped, every blank is U+0020, canonical composition holds, and wide, narrow and joined
-    forms, radicals and compatibility ideographs, look-alike letters and hyphens are the ordinary characters. Case,
+    Invisible characters are dropped, every blank is U+0020, canonical composition holds, and compatibility forms (wide,
+    narrow, joined and presentation forms, mathematical letters, Roman numerals, units, radicals and compatibility
+    ideographs), look-alike letters, hyphens, dashes of the same length, quotation marks and primes are the ordinary
+    characters. What is seen as something else stays: raised, lowered, circled and turned characters, fractions. Case,
     accents, the number of blanks and line breaks stay; the form of a form is itself. Null stays null, empty stays
     empty. Whole texts are used; one DuckDB connection per partition works on one Arrow batch at a time.
     """
@@ -152,6 +161,7 @@ def unmasked_quotes(items: DataFrame, blocks: DataFrame, key: str, scope: str, r
     literal = F.contains("c", "q")
     seen = F.contains(F.coalesce("cf", "c"), F.col("qf"))
     return (
-        i.join(b, ["s", "r"]).select("k", literal.alias("literal"), seen.alias("seen")).filter("literal or seen")
+        i.join(b.hint("merge"), ["s", "r"])  # both sides are texts: never sent to every executor
+        .select("k", literal.alias("literal"), seen.alias("seen")).filter("literal or seen")
         .groupBy("k").agg(F.bool_or("literal").alias("literal"), F.bool_or("seen").alias("seen")).filter("seen and not literal").select(F.col("k").alias(key))
     )
