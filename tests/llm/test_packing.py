@@ -11,11 +11,16 @@ def test_partition_packs_all_within_capacity():
     rng = np.random.default_rng(1)
     sizes = np.minimum(2048, rng.lognormal(4.5, 1.0, 5000).astype(int))
     source = rng.choice(["a", "b", "c"], 5000, p=[0.7, 0.2, 0.1])
-    c = pk.pack_partition(sizes, source, {"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 500.0, "b": -400.0}, 2048, 16)
+    c, w = pk.pack_partition(sizes, source, {"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 500.0, "b": -400.0}, 2048, 16)
     fill = np.bincount(c, weights=sizes)
     assert c.min() >= 0 and fill.max() <= 2048
     assert len(fill) - -(-sizes.sum() // 2048) <= 2
-    # the mixture holds along the way
+    # each window is mixed, but for what is carried
+    total = np.bincount(w, weights=sizes)
+    for s in "abc":
+        share = np.bincount(w, weights=sizes * (source == s), minlength=len(total)) / total
+        assert abs(share[1:-1] - sizes[source == s].sum() / sizes.sum()).max() < 0.08
+    # and the containers along the way
     for k in range(200, len(fill) - 200, 200):
         some = (c >= k) & (c < k + 200)
         assert abs(sizes[some & (source == "a")].sum() / sizes[some].sum() - sizes[source == "a"].sum() / sizes.sum()) < 0.12
@@ -23,7 +28,7 @@ def test_partition_packs_all_within_capacity():
 
 @pytest.mark.parametrize("share", [{"a": 1.0, "b": 0.0}, {"a": 0.0, "b": 0.0}, {"a": 0.5, "b": 0.5}])
 def test_odd_mixtures_end(share):
-    c = pk.pack_partition(np.array([10, 10, 0, 7, 10]), np.array(["a", "b", "b", "a", "b"]), share, {}, 10, 1)
+    c, _ = pk.pack_partition(np.array([10, 10, 0, 7, 10]), np.array(["a", "b", "b", "a", "b"]), share, {}, 10, 1)
     assert sorted(np.bincount(c, weights=[10, 10, 0, 7, 10])) == [7, 10, 10, 10]
 
 
@@ -37,6 +42,15 @@ def test_whole_table(spark):
     assert all(r.m == max(1, -(-want[r.doc_id] // 2048)) for r in got)
     rep = pk.fill_report(p).first()
     assert rep.fullest <= 2048 and rep.left_over < 0.05
+    mix = pk.mix_report(p, "source").collect()
+    assert abs(sum(r.share for r in mix) - 1) < 1e-9 and all(r.mean_off < 0.1 for r in mix)
+
+
+def test_layout_of_the_files_does_not_matter(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    d = d.union(d.limit(3)).union(spark.createDataFrame([(7, "many words " * 3000, "s")] * 2, "doc_id long, text string, source string"))
+    run = lambda x: sorted(map(tuple, pk.pack(x, "doc_id", "text", "source", rows_per_part=60).collect()), key=str)
+    assert run(d) == run(d.repartition(7).orderBy(F.desc("text")))
 
 
 def test_dirty_rows(spark):

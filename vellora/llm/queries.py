@@ -150,6 +150,18 @@ def p5_packing(spark: SparkSession, d: str) -> DataFrame:
     return pk.pack(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source")
 
 
+@Q.add()
+def p5_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return pk.fill_report(p5_packing(spark, d))
+
+
+@Q.add()
+def p5_mix(spark: SparkSession, d: str) -> DataFrame:
+    """How near each window is to the sources' shares."""
+    return pk.mix_report(p5_packing(spark, d), "source")
+
+
 @Q.add()
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Reviews that are a list, a table or junk."""
