@@ -72,6 +72,17 @@ def number_runs(df: DataFrame, key: str, order: list[str], value: Column, starts
     return _joined(local, carry, key).withColumn(out, (F.col(out) + F.col("_c")).cast("int")).drop("_v", "_b", "_c")
 
 
+def last_known(df: DataFrame, key: str, order: list[str], value: Column, out: str, size: int = STRETCH) -> DataFrame:
+    """Adds the last ``value`` that is not null, of this row or those of the same key before it."""
+    d = _stretched(df, order[0], size).withColumn("_v", value)
+    upto = Window.partitionBy(key, "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = d.groupBy(key, "_s").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_l"))
+    before = Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.withColumn("_c", F.last("_l", ignorenulls=True).over(before)).drop("_l")
+    local = d.withColumn(out, F.last("_v", ignorenulls=True).over(upto))
+    return _joined(local, carry, key).withColumn(out, F.coalesce(out, "_c")).drop("_v", "_c")
+
+
 def split_heading(level: Column, fixlevel: int | None = None) -> Column:
     """Whether a paragraph of this outline level starts a block: any level, or up to ``fixlevel`` if above 0."""
     test = level.isNotNull() if not fixlevel else level <= fixlevel

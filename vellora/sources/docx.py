@@ -30,7 +30,7 @@ A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 PKG = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 TYPES = "{http://schemas.openxmlformats.org/package/2006/content-types}"
 IMAGE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/image"
-SCHEMA = "doc_id string, pos bigint, text string, para_id string, para_id_end string, is_table boolean, level int, table_header array<array<string>>, source_hash string"
+SCHEMA = "doc_id string, pos bigint, text string, para_id string, para_id_end string, is_table boolean, level int, table_header array<array<string>>, row_ids array<array<string>>, row_ends array<array<string>>, source_hash string"
 
 
 class MissingId(ValueError):
@@ -246,7 +246,7 @@ def _labelled(p: Element, pkg: Package, folder: str | None) -> str:
 
 
 def table(tbl: Element, pkg: Package, folder: str | None = None) -> dict:
-    """A table on its grid (S09, D5): rows, first and last ids, header rows.
+    """A table on its grid (S09, D5): rows, first and last id of every cell, header rows.
 
     A spanning cell stands in its first column. The rows of a vertical merge repeat the content and id of its start,
     each with its own end id; so does an empty plain cell below a merge that is still open. No grid, no rows.
@@ -302,7 +302,7 @@ def paragraphs(data: bytes, doc_id: str, strict: bool = True, folder: str | None
                 continue
             if pid is None and strict:
                 raise MissingId(f"{doc_id}: no paragraph id at {text[:60]!r}")
-            yield doc_id, pos, text, pid, None, False, lv + 1 if lv is not None and 0 <= lv <= 8 else None, None, digest
+            yield doc_id, pos, text, pid, None, False, lv + 1 if lv is not None and 0 <= lv <= 8 else None, None, None, None, digest
         elif el.tag == W + "tbl":
             pkg.numbering.reset()
             t = table(el, pkg, folder)
@@ -311,7 +311,7 @@ def paragraphs(data: bytes, doc_id: str, strict: bool = True, folder: str | None
                 continue
             ids, ends = ([x for r in t[k] for x in r if x] for k in ("ids", "ends"))
             head = [t["rows"][i] for i in t["headers"]] or None
-            yield doc_id, pos, f"<table>{json.dumps(t['rows'], ensure_ascii=False)}</table>", ids[0] if ids else None, ends[-1] if ends else None, True, None, head, digest
+            yield doc_id, pos, f"<table>{json.dumps(t['rows'], ensure_ascii=False)}</table>", ids[0] if ids else None, ends[-1] if ends else None, True, None, head, t["ids"], t["ends"], digest
         else:
             if el.tag == W + "sectPr":
                 pkg.numbering.reset()
@@ -358,10 +358,9 @@ def read_binary(files: DataFrame, strict: bool = False) -> DataFrame:
 
     Unreadable documents give one row with a null pos and the error as text.
     """
-    out = "doc_id string, pos bigint, text string, para_id string, para_id_end string, is_table boolean, level int, table_header array<array<string>>, source_hash string"
-    names = [c.split(" ")[0] for c in out.split(", ")]
+    names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
     strings = pa.list_(pa.list_(pa.string()))
-    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), strings, pa.string()]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), strings, strings, strings, pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -370,11 +369,11 @@ def read_binary(files: DataFrame, strict: bool = False) -> DataFrame:
                 try:
                     rows = list(paragraphs(data.as_py(), doc, strict))
                 except Exception as e:  # noqa: BLE001
-                    rows = [(doc, None, f"{type(e).__name__}: {e}", None, None, None, None, None, None)]
+                    rows = [(doc, None, f"{type(e).__name__}: {e}", *[None] * (len(names) - 3))]
                 cols = list(zip(*rows)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    return files.select("path", "content").mapInArrow(run, out)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def sources(files: DataFrame) -> DataFrame:
