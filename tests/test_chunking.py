@@ -56,6 +56,37 @@ def test_long_split(spec):
     assert plan[0][2] in ("H", "anchor") and all(m[0] == "H" for _, _, _, m in plan if m)
 
 
+def test_chunks_of_a_table_have_their_own_ids_and_its_header(spark):
+    rows = [[f"{i}", "cell " * 60] for i in range(300)]
+    ids, ends = [[f"S{i}", f"T{i}"] for i in range(300)], [[f"U{i}", f"V{i}"] for i in range(300)]
+    text = f"<table>{json.dumps(rows)}</table>"
+    s = LEVELS + ", table_header array<array<string>>, row_ids array<array<string>>, row_ends array<array<string>>"
+    head = [["no", "what"]]
+    df = spark.createDataFrame([("d", 0, "Head", "A", None, False, 1, None, None, None), ("d", 1, text, "S0", "V299", True, None, head, ids, ends), ("d", 2, "after", "Z", None, False, None, None, None, None)], s)
+    want = ch.table_pieces(rows)
+    placed = ch.place_tables(df).filter("is_table").orderBy("sub").collect()
+    assert [(r.para_id, r.para_id_end) for r in placed] == [(f"S{a}", f"V{b - 1}") for a, b in want] and len(want) > 3
+    b = ch.build_blocks(df).orderBy("block_idx").collect()
+    keys = [r.uuid for r in b]
+    assert len(set(keys)) == len(keys) == len(want) and keys[0] == "A" and keys[1:] == [f"S{a}" for a, _ in want[1:]]
+    assert b[0].table_header is None and all(r.table_header == head for r in b[1:]) and [r.uuid_end for r in b] == [f"V{e - 1}" for _, e in want[:-1]] + ["Z"]
+    assert b[1].heading == f"Head [{ch.SUFFIX}1]" and not any(r.oversize for r in b)
+    # without ids per row the table's own stand for all chunks
+    plain = ch.place_tables(df.drop("row_ids", "row_ends")).filter("is_table").collect()
+    assert {(r.para_id, r.para_id_end) for r in plain} == {("S0", "V299")}
+
+
+def test_blocks_no_anchor_can_part_are_marked(spark):
+    df = spark.createDataFrame([("d", k, "x" * 9000, f"P{k}", None, False, None) for k in range(3)], LEVELS)
+    assert [(r.oversize, r.tokens > ch.LIMIT) for r in ch.build_blocks(df).collect()] == [(True, True)]
+    try:
+        ch.build_blocks(df, strict=True).collect()
+    except Exception as e:
+        assert "no anchor" in str(e)
+    else:
+        raise AssertionError
+
+
 def test_long_split_takes_the_nearest_anchor():
     paras = [(None, (0, 0, 3000))] * 4 + [("Mid", (0, 0, 3))] + [(None, (0, 0, 3000))] * 4
     assert ch.split_plan(paras, "H", 6000, 8000) == [(0, 4, "H", ()), (4, 9, "Mid", ("H",))]

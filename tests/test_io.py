@@ -3,6 +3,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_docx import STYLES, make, p
 from vellora import cli
@@ -11,7 +12,7 @@ from vellora.operators import manifest as mf
 from vellora.operators import match as mt
 from vellora.operators import rules as rl
 from vellora.sources import jsonl as jl
-from vellora.streaming.incremental import audit_stream
+from vellora.streaming.incremental import audit_stream, retry_failed
 
 
 def lines(path, rows):
@@ -93,6 +94,31 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert mf.is_complete(b, spark.read.parquet(out))
 
 
+def test_failed_blocks_come_again(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    b = spark.createDataFrame([("d", k, f"A{k}", "B", "h", "c", []) for k in range(4)], BLOCKS)
+    b.write.parquet(src)
+    audit = lambda bad: lambda x: au.audit_by_rules(x).withColumn("error", F.when(F.col("block_idx").isin(bad), "down"))
+    done = lambda: sorted(r.block_idx for r in spark.read.parquet(out).collect())
+    audit_stream(spark, src, b.schema, out, cp, audit([1, 3]))
+    assert done() == [0, 2]
+    audit_stream(spark, src, b.schema, out, cp, audit([3]))
+    assert done() == [0, 1, 2]
+    assert retry_failed(spark, out, out + "_failed", audit([3])) == 1 and retry_failed(spark, out, out + "_failed", audit([-1])) == 0
+    audit_stream(spark, src, b.schema, out, cp, audit([-1]))
+    assert done() == [0, 1, 2, 3]
+
+
+def test_lines_with_meta(spark, tmp_path):
+    at = str(tmp_path / "m")
+    e = spark.createDataFrame([("d", 0, "A", "B", "h", "c", [])], BLOCKS)
+    made = au.audit_by_rules(e.unionByName(e.withColumn("block_idx", F.lit(1)))).withColumn("error", F.when(F.col("block_idx") == 1, "down"))
+    jl.write_lines(jl.entry_lines(made), at, {"source_hash": "h"})
+    jl.write_lines(jl.entry_lines(made.limit(0)), at, append=True)
+    rows = spark.read.json(at)
+    assert rows.filter("type = 'meta'").count() == 1 and rows.filter("_error is not null and violations is null").count() == 1 and rows.count() == 3
+
+
 def test_location(spark):
     P = "doc_id string, pos long, text string, para_id string, para_id_end string, is_table boolean, level int"
     paras = spark.createDataFrame([("d", 0, "1st", "A", None, False, None), ("d", 1, "find me  \nhere", "B", None, False, None), ("d", 200, "x<sup>2</sup>", "C", None, False, None), ("d", 201, "tail find me", "D", None, False, None)], P)
@@ -107,8 +133,14 @@ def test_location(spark):
 
 
 def test_sheet_and_page():
-    data = jl.xlsx(["a", "b"], [("<x>", None)])
-    assert b"&lt;x&gt;" in zipfile.ZipFile(io.BytesIO(data)).read("xl/worksheets/sheet1.xml")
+    f = io.BytesIO()
+    assert jl.write_xlsx(f, ["a", "b"], [("<x>", None)]) == 1
+    assert b"&lt;x&gt;" in zipfile.ZipFile(f).read("xl/worksheets/sheet1.xml")
+    f = io.BytesIO()  # rows beyond a sheet go on in the next
+    assert jl.write_xlsx(f, ["a"], ((k,) for k in range(7)), most=4) == 3
+    z = zipfile.ZipFile(f)
+    assert [z.read(f"xl/worksheets/sheet{k}.xml").count(b"<row") for k in (1, 2, 3)] == [4, 4, 2] and z.read("xl/workbook.xml").count(b"<sheet ") == 3
+    assert jl.write_xlsx(io.BytesIO(), ["a"], []) == 1
     assert "&lt;b&gt;" in jl.html_report("t", {"c": 1}, [{"heading": "<b>"}]) and "<b>" in jl.html_report("t", {}, [{"heading": "<b>"}], True)
     assert jl.extraction_path("a/b_manifest.jsonl") == "a/b_manifest_extractions.jsonl"
 
@@ -122,3 +154,17 @@ def test_stages(spark, tmp_path, capsys):
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert out["total_blocks"] == 1 and out["by_category"] == {"grammar": 1, "number": 1} and zipfile.is_zipfile(at("r.xlsx"))
     assert cli.main(["query", "none", "x"]) == 2
+    assert cli.main(["audit", at("blocks"), "--dry-run"]) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["blocks"] == 1
+    assert spark.read.text(at("report_summary")).count() == 1
+    base, more = lines(tmp_path / "a.json", [[{"id": "R1", "description": "a"}, {"id": "R2", "description": "/[0-9]{3}/", "category": "number"}]]), lines(tmp_path / "b.json", [[{"id": "R1", "description": "b"}]])
+    assert cli.main(["rules", base, at("rules.json"), "--merge", more]) == 0
+    assert [r["description"] for r in json.loads((tmp_path / "rules.json").read_text())["rules"]] == ["b", "/[0-9]{3}/"]
+    assert cli.main(["audit", at("blocks"), at("m2"), "--rules", at("rules.json")]) == 0
+    assert [v.violation_text for r in spark.read.parquet(at("m2")).collect() for v in r.violations] == ["123", "456"]
+    item = {"uuid": "A2", "uuid_end": "A2", "violation_text": "the the", "violation_reason": "twice", "fix_action": "replace", "revised_text": "the", "category": "grammar"}
+    items = lines(tmp_path / "items.jsonl", [{"type": "meta", "source_hash": "sha256:x"}, item, {**item, "uuid": "ZZ"}])
+    assert cli.main(["apply", at("in"), at("edited"), "--items", items]) == 1  # another document
+    assert cli.main(["apply", at("in"), at("edited"), "--items", items, "--skip-hash", "--dry-run"]) == 1 and not (tmp_path / "edited").exists()
+    assert cli.main(["apply", at("in"), at("edited"), "--items", items, "--skip-hash"]) == 1
+    assert zipfile.is_zipfile(tmp_path / "edited/a.docx") and [r.status for r in spark.read.json(at("edited_failed")).collect()] == ["no_anchor"]

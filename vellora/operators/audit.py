@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellora.functions.text import estimate_tokens
 from vellora.operators.flatten import VIOLATION_FIELDS, flatten
 
 
@@ -57,6 +58,24 @@ def audit_by_rules(blocks: DataFrame, rules: list[PatternRule] | None = None) ->
     )
 
 
+def rules_from(rules: DataFrame) -> list[PatternRule]:
+    """Rules the deterministic auditor can apply: those whose description is a pattern between slashes, in order of id."""
+    rows = rules.filter(F.col("description").rlike("^/.+/$")).orderBy("id").toLocalIterator()  # a rule set is small by nature
+    return [PatternRule(r.id, r.description[1:-1], r.description, None, r.category or "other") for r in rows]
+
+
+def block_range(blocks: DataFrame, start: int = 0, end: int = -1) -> DataFrame:
+    """Blocks with numbers from start to end, both included (F02); an end below 0 means the last block."""
+    taken = F.col("block_idx") >= start
+    return blocks.filter(taken if end < 0 else taken & (F.col("block_idx") <= end))
+
+
+def dry_run(blocks: DataFrame) -> DataFrame:
+    """What an audit would take (R08): documents, blocks, and tokens of their contents, in one row; no auditor is asked."""
+    b = blocks.dropDuplicates(["doc_id", "block_idx"])
+    return b.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("blocks"), F.coalesce(F.sum(estimate_tokens(F.col("content"))), F.lit(0)).alias("tokens"))
+
+
 class NonRetryable(Exception):
     """An error that another try cannot mend."""
 

@@ -409,6 +409,30 @@ def apply_edits(documents: DataFrame, items: DataFrame, author: str = "AI", date
     return done.select("doc_id", "content"), done.select("doc_id", F.inline("results"))
 
 
+def items_of(lines: DataFrame) -> DataFrame:
+    """Edit items of flat lines (S18): doc_id and ITEM, item_id from the line where it has one, else its place; metas are left out."""
+    from pyspark.sql import functions as F
+
+    rows = lines.filter("type is null or type <> 'meta'") if "type" in lines.columns else lines
+    have = set(rows.columns)
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in ITEM if c not in have and c != "item_id"})
+    item_id = F.col("item_id").cast("string") if "item_id" in have else F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+    return rows.select("doc_id", item_id.alias("item_id"), *[c for c in ITEM if c != "item_id"])
+
+
+def write_documents(edited: DataFrame, folder: str) -> None:
+    """Writes edited documents as files into a folder all executors share."""
+    import os
+
+    def put(part: Iterator) -> None:
+        os.makedirs(folder, exist_ok=True)
+        for r in part:
+            with open(os.path.join(folder, os.path.basename(r.doc_id)), "wb") as f:
+                f.write(r.content)
+
+    edited.foreachPartition(put)
+
+
 def summary(results: DataFrame) -> DataFrame:
     """Succeeded, with warnings, failed."""
     from pyspark.sql import functions as F

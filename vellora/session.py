@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -32,15 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = os.environ.get("VELLORA_SHARED_DIR") or tempfile.mkdtemp(prefix="vellora-")
-    return d
+    """The folder all executors share: spark.checkpoint.dir, else $VELLORA_SHARED_DIR; a temporary one in local mode only."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("VELLORA_SHARED_DIR")
+    if d:
+        return d
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="vellora-")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read back, so that a lost executor costs no recomputation above it."""
+    """The rows written to the shared folder and read back, so that a lost executor costs no recomputation above it.
+
+    This runs a job at once. The files go when the result is no longer referred to, if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, as ``session`` does.
+    """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import html
-import io
 import json
 import os
 import zipfile
+from collections.abc import Iterable
+from typing import BinaryIO
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,9 +86,22 @@ def read_edit_items(spark: SparkSession, path: str) -> DataFrame:
     return got.select("heading", F.coalesce(F.nullif("v.uuid", F.lit("")), "u").alias("uuid"), F.when(end.isNull(), F.raise_error(F.lit("edit item without uuid_end"))).otherwise(end).alias("uuid_end"), *[F.col(f"v.{f}").alias(f) for f in VIOLATION_FIELDS if f not in ("uuid", "uuid_end")])
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    """JSON Lines, in parts."""
-    df.write.mode("overwrite").json(path)
+def write_lines(df: DataFrame, path: str, meta: dict | None = None, append: bool = False) -> None:
+    """JSON Lines, in parts (K01, K03, K04, K12); with ``meta`` a first part of one line, {"type": "meta", ..}.
+
+    Lines appended later come in parts of their own; a folder written anew holds nothing of what was there before.
+    """
+    df.write.mode("append" if append else "overwrite").json(path)
+    if meta is not None:
+        line = json.dumps({"type": "meta", **meta}, ensure_ascii=False)
+        df.sparkSession.range(1).select(F.lit(line).alias("value")).coalesce(1).write.mode("append").text(path)
+
+
+def entry_lines(entries: DataFrame) -> DataFrame:
+    """Entries as lines of a manifest (K01): a failed one carries ``_error`` and no findings, others none."""
+    error = F.col("error") if "error" in entries.columns else F.lit(None).cast("string")
+    found = F.when(error.isNull(), F.col("violations"))
+    return entries.select(*[c for c in entries.columns if c not in ("error", "violations")], found.alias("violations"), error.alias("_error"))
 
 
 def extraction_path(manifest: str) -> str:
@@ -105,22 +119,42 @@ def sheet(rows: DataFrame) -> DataFrame:
     return rows.select(*[sanitize_xml(F.col(c)).alias(c) for c in SHEET])
 
 
-def xlsx(header: list[str], rows: list[tuple]) -> bytes:
-    """A workbook of one sheet with a frozen header (K07), of rows already brought to the driver for a reader."""
+#: Fixed value: rows a sheet can hold.
+SHEET_ROWS = 1_048_576
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PKG = "http://schemas.openxmlformats.org/package/2006"
+_SHEET_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+
+
+def write_xlsx(out: BinaryIO, header: list[str], rows: Iterable[tuple], most: int = SHEET_ROWS) -> int:
+    """Writes a workbook with frozen headers (K07) row by row and gives its number of sheets.
+
+    Rows beyond what one sheet holds go on in a further one, so none is left out; no more than a row is in memory.
+    """
     col = lambda k: (chr(64 + k // 26) if k >= 26 else "") + chr(65 + k % 26)
     cell = lambda r, k, v: f'<c r="{col(k)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>'
-    body = "".join(f'<row r="{i}">' + "".join(cell(i, k, v) for k, v in enumerate(r)) + "</row>" for i, r in enumerate([tuple(header), *rows], 1))
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    pkg = "http://schemas.openxmlformats.org/package/2006"
-    f = io.BytesIO()
-    with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{pkg}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="{pkg}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{pkg}/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Report" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><sheetData>{body}</sheetData></worksheet>')
-    return f.getvalue()
+    line = lambda r, values: (f'<row r="{r}">' + "".join(cell(r, k, v) for k, v in enumerate(values)) + "</row>").encode()
+    left, n = iter(rows), 0
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, allowZip64=True) as z:
+        ahead = next(left, None)
+        while ahead is not None or n == 0:
+            n += 1
+            with z.open(f"xl/worksheets/sheet{n}.xml", "w", force_zip64=True) as f:
+                f.write(f'<worksheet xmlns="{_MAIN}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><sheetData>'.encode())
+                f.write(line(1, header))
+                for r in range(2, most + 1):
+                    if ahead is None:
+                        break
+                    f.write(line(r, ahead))
+                    ahead = next(left, None)
+                f.write(b"</sheetData></worksheet>")
+        each = lambda form: "".join(form.format(k=k, name="Report" if k == 1 else f"Report {k}") for k in range(1, n + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{_PKG}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{_SHEET_TYPE}.sheet.main+xml"/>' + each(f'<Override PartName="/xl/worksheets/sheet{{k}}.xml" ContentType="{_SHEET_TYPE}.worksheet+xml"/>') + "</Types>")
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{_PKG}/relationships"><Relationship Id="r1" Type="{_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PKG}/relationships">' + each(f'<Relationship Id="r{{k}}" Type="{_REL}/worksheet" Target="worksheets/sheet{{k}}.xml"/>') + "</Relationships>")
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>' + each('<sheet name="{name}" sheetId="{k}" r:id="r{k}"/>') + "</sheets></workbook>")
+    return n
 
 
 def html_report(title: str, counts: dict[str, int], rows: list[dict], trusted: bool = False) -> str:
