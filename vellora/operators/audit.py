@@ -126,9 +126,10 @@ def audit_by_model(blocks: DataFrame, auditor: Callable[[dict], list[dict]], wor
     return blocks.select(*kept).repartition(workers).mapInPandas(run, schema).withColumn("is_violation", F.when(F.col("error").isNull(), F.size("violations") > 0))
 
 
-def extraction_items(extractions: DataFrame) -> DataFrame:
-    """Flat items of extraction entries (D11, D12): uuid, rule_id, item_no, entity, fields .. with their places."""
-    return flatten(extractions, ["doc_id", "uuid", "uuid_end", "p_heading"], ["results", "extracted_results"], ["result_no", "item_no"])
+def extraction_items(extractions: DataFrame, keys: list[str]) -> DataFrame:
+    """Flat items of extraction entries (D11, D12): the keys, result_no, rule_id, item_no, entity and fields, each item with its places."""
+    results = flatten(extractions, keys, ["results"], ["result_no"]).filter("rule_id is not null")
+    return flatten(results.select(*keys, "result_no", "rule_id", "extracted_results"), [*keys, "result_no", "rule_id"], ["extracted_results"], ["item_no"])
 
 
 def rule_buckets(rules: DataFrame, items: DataFrame, order: list[str]) -> DataFrame:

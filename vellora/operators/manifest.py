@@ -105,6 +105,12 @@ def run_stats(manifest: DataFrame) -> DataFrame:
     )
 
 
+def complete_documents(blocks: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Whether every block of each document is audited (U05): doc_id, complete."""
+    left = pending(blocks, manifest).select("doc_id").distinct().withColumn("open", F.lit(True))
+    return blocks.select("doc_id").distinct().join(left, "doc_id", "left").select("doc_id", F.col("open").isNull().alias("complete"))
+
+
 def is_complete(blocks: DataFrame, manifest: DataFrame) -> bool:
     """Whether every block is audited."""
     return pending(blocks, manifest).isEmpty()

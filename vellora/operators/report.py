@@ -48,6 +48,11 @@ def used_rules(manifest: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def preview(rows: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The first rows in order, for a look."""
+    return rows.orderBy(*order).limit(n)
+
+
 def block_stats(blocks: DataFrame) -> DataFrame:
     """Blocks, distinct headings, characters and their whole average."""
     return blocks.dropDuplicates(["doc_id", "block_idx"]).agg(

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from vellora.functions import text as tx
 from vellora.operators import audit as au
+from vellora.operators import global_audit as ga
 from vellora.operators import manifest as mf
 from vellora.operators import report as rp
 from vellora.operators import rules as rl
 from vellora.plans.registry import Registry
+from vellora.plans.texts import est_sql
 from vellora.session import table
 
 Q = Registry()
@@ -84,7 +86,7 @@ _KEYED = "b AS (SELECT DISTINCT doc_id, coalesce(nullif(uuid, ''), CAST(block_id
 
 @Q.add(sql=f"WITH {_KEYED} SELECT doc_id, block_idx FROM b WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.doc_id = b.doc_id AND m.uuid = b.uuid)")
 def manifest_pending(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks not audited yet."""
+    """Blocks not audited yet."""
     return mf.pending(table(spark, d, "blocks"), table(spark, d, "manifest")).select("doc_id", "block_idx").distinct()
 
 
@@ -185,16 +187,116 @@ y AS (SELECT DISTINCT f FROM (SELECT unnest(f) AS f FROM x))
 SELECT rule_id, entity, field, count(DISTINCT value) AS n_values, count(*) AS n_items FROM (SELECT 'C1' AS rule_id, doc_id AS entity, 'credits' AS field, unnest(regexp_extract_all(content, 'Costs above ([0-9]+) credits', 1)) AS value FROM b) GROUP BY ALL HAVING count(DISTINCT value) > 1"""
 )
 def audit_value_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Values extracted from blocks that differ within a document."""
+    """Values that differ within a document."""
     b = table(spark, d, "blocks").dropDuplicates(["doc_id", "block_idx"])
     v = b.select(F.lit("C1").alias("rule_id"), F.col("doc_id").alias("entity"), F.lit("credits").alias("field"), F.explode(F.regexp_extract_all("content", F.lit("Costs above ([0-9]+) credits"), 1)).alias("value"))
     return au.value_conflicts(v)
 
 
-@Q.add(sql="SELECT 'block' AS kind, count(*) AS n FROM (SELECT DISTINCT doc_id, block_idx FROM blocks WHERE block_idx BETWEEN 2 AND 5)")
+@Q.add(sql="SELECT DISTINCT doc_id, block_idx, 'middle' AS part FROM blocks WHERE block_idx BETWEEN 2 AND 5 UNION ALL SELECT DISTINCT doc_id, block_idx, 'rest' FROM blocks WHERE block_idx >= 3")
 def audit_block_range(spark: SparkSession, d: str) -> DataFrame:
-    """a range of blocks is taken."""
-    return table(spark, d, "blocks").filter(F.col("block_idx").between(2, 5)).select("doc_id", "block_idx").distinct().agg(F.lit("block").alias("kind"), F.count("*").alias("n"))
+    """a range of blocks, and all from a block on."""
+    b = table(spark, d, "blocks").select("doc_id", "block_idx").distinct()
+    return au.block_range(b, 2, 5).withColumn("part", F.lit("middle")).unionByName(au.block_range(b, 3, -1).withColumn("part", F.lit("rest")))
+
+
+@Q.add(sql=f"SELECT count(DISTINCT doc_id) AS documents, count(*) AS blocks, CAST(sum({est_sql('content')}) AS BIGINT) AS tokens FROM (SELECT doc_id, block_idx, any_value(content) AS content FROM blocks GROUP BY ALL)")
+def audit_dry_run(spark: SparkSession, d: str) -> DataFrame:
+    """What an audit of all blocks would take."""
+    return au.dry_run(table(spark, d, "blocks"))
+
+
+@Q.add(sql=f"WITH {_KEYED} SELECT doc_id, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.doc_id = b.doc_id AND m.uuid = b.uuid)) = 0 AS complete FROM b GROUP BY doc_id")
+def manifest_complete(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose blocks are all audited."""
+    return mf.complete_documents(table(spark, d, "blocks"), table(spark, d, "manifest"))
+
+
+@Q.add(sql="SELECT DISTINCT doc_id, block_idx, heading FROM blocks ORDER BY doc_id, block_idx LIMIT 5")
+def report_preview(spark: SparkSession, d: str) -> DataFrame:
+    """The first five blocks, for a look."""
+    return rp.preview(table(spark, d, "blocks").select("doc_id", "block_idx", "heading").distinct(), ["doc_id", "block_idx"])
+
+
+# ---- global rules ----
+
+_GLOBAL = [ga.FieldPattern("G1", "credits", r"above ([0-9]+) credits"), ga.FieldPattern("G2", "days", r"within ([0-9]+) days", "deadline"), ga.FieldPattern("G9", "year", r"(20[0-9]{2})")]
+_GLOBAL_RULES = "(VALUES ('G1', 'global', 'number', 'costs'), ('G2', 'global', NULL, NULL), ('G3', 'global', 'other', 'unused'), ('B1', 'block_level', 'grammar', NULL)) r(id, type, category, topic)"
+_FOUND = """b AS (SELECT doc_id, block_idx, any_value(uuid) AS uuid, any_value(uuid_end) AS uuid_end, any_value(heading) AS p_heading, any_value(content) AS content FROM blocks GROUP BY doc_id, block_idx),
+x AS (SELECT *, 'G1' AS rule_id, 'document' AS entity, 'credits' AS name, 0 AS g, regexp_extract_all(content, 'above ([0-9]+) credits') AS e, regexp_extract_all(content, 'above ([0-9]+) credits', 1) AS v FROM b
+ UNION ALL SELECT *, 'G2', 'deadline', 'days', 1, regexp_extract_all(content, 'within ([0-9]+) days'), regexp_extract_all(content, 'within ([0-9]+) days', 1) FROM b
+ UNION ALL SELECT *, 'G9', 'document', 'year', 2, regexp_extract_all(content, '(20[0-9]{2})'), regexp_extract_all(content, '(20[0-9]{2})', 1) FROM b),
+f AS (SELECT doc_id, block_idx, uuid, uuid_end, rule_id, entity, name, unnest(e) AS evidence, unnest(v) AS value, unnest(range(len(v))) AS k FROM x)"""
+
+
+def _global_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("G1", "global", "number", "costs"), ("G2", "global", None, None), ("G3", "global", "other", "unused"), ("B1", "block_level", "grammar", None)], "id string, type string, category string, topic string")
+
+
+def _extractions(spark: SparkSession, d: str) -> DataFrame:
+    return ga.extract(table(spark, d, "blocks").dropDuplicates(["doc_id", "block_idx"]), ga.pattern_extractor(_GLOBAL), workers=spark.sparkContext.defaultParallelism)
+
+
+@Q.add(sql=f"WITH {_FOUND} SELECT doc_id, block_idx, rule_id, entity, name, value, evidence, count(*) AS n FROM f GROUP BY ALL")
+def audit_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """Items an extractor takes from all blocks."""
+    i = ga.items(_extractions(spark, d)).select("doc_id", "block_idx", "rule_id", "entity", F.inline("fields"))
+    return i.groupBy("doc_id", "block_idx", "rule_id", "entity", "name", "value", "evidence").agg(F.count("*").alias("n"))
+
+
+@Q.add(sql=f"WITH {_FOUND} SELECT f.rule_id, coalesce(r.topic, '') AS topic, coalesce(r.category, 'other') AS category, count(*) AS n FROM f LEFT JOIN {_GLOBAL_RULES} ON r.id = f.rule_id GROUP BY ALL")
+def audit_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Topic and category of extracted items."""
+    return ga.with_topic(ga.items(_extractions(spark, d)), _global_rules(spark)).groupBy("rule_id", "topic", "category").agg(F.count("*").alias("n"))
+
+
+@Q.add(sql=f"WITH {_FOUND} SELECT rule_id, count(DISTINCT doc_id || '#' || block_idx) AS n_blocks, count(*) AS n_items, count(*) AS n_fields FROM f GROUP BY rule_id")
+def audit_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of extracted entities."""
+    return ga.entity_counts(_extractions(spark, d))
+
+
+@Q.add(sql=f"WITH {_FOUND}, k AS (SELECT rule_id, doc_id, block_idx, k, value FROM f WHERE rule_id IN ('G1', 'G2')) SELECT r.id AS rule_id, count(k.rule_id) AS n_items, coalesce(string_agg(value, ',' ORDER BY k.doc_id, k.block_idx, k.k), '') AS in_order FROM {_GLOBAL_RULES} LEFT JOIN k ON k.rule_id = r.id WHERE r.type = 'global' GROUP BY r.id")
+def audit_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Items of each global rule in order, rules without items kept, unknown rules left out."""
+    _, wanted = ga.split_by_type(_global_rules(spark))
+    got = au.rule_buckets(wanted, ga.of_known_rules(ga.items(_extractions(spark, d)), wanted).select("rule_id", "doc_id", "block_idx", "item_no", F.col("fields")[0]["value"].alias("value")), ["doc_id", "block_idx", "item_no"])
+    return got.select("rule_id", F.col("n_items").cast("long").alias("n_items"), F.array_join(F.transform("items", lambda x: x["value"]), ",").alias("in_order"))
+
+
+_CONFLICTS = "c AS (SELECT f.*, count(DISTINCT value) OVER (PARTITION BY doc_id, rule_id, entity, name) AS values_ FROM f WHERE rule_id IN ('G1', 'G2'))"
+
+
+@Q.add(sql=f"WITH {_FOUND}, {_CONFLICTS} SELECT doc_id, rule_id, uuid, evidence AS violation_text, name || ' has ' || values_ || ' values' AS violation_reason, count(*) AS n FROM c WHERE values_ > 1 GROUP BY ALL")
+def audit_global(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of the global rules after both phases, a chunk holding each document's items."""
+    b = table(spark, d, "blocks").dropDuplicates(["doc_id", "block_idx"])
+    out = ga.two_phases(b, _global_rules(spark), lambda x: au.audit_by_rules(x, _RULES), ga.pattern_extractor(_GLOBAL), budget=10**8, workers=spark.sparkContext.defaultParallelism)
+    assert out.status == "done"
+    return out.findings.groupBy("doc_id", "rule_id", "uuid", "violation_text", "violation_reason").agg(F.count("*").alias("n"))
+
+
+@Q.add(sql="SELECT 'aborted: audit' AS status, count(*) FILTER (WHERE block_idx % 50 = 49) AS failed FROM (SELECT DISTINCT doc_id, block_idx FROM blocks)")
+def audit_aborted(spark: SparkSession, d: str) -> DataFrame:
+    """A failed block ends the run before the global phase."""
+    b = table(spark, d, "blocks").dropDuplicates(["doc_id", "block_idx"])
+    failing = lambda x: au.audit_by_rules(x, _RULES).withColumn("error", F.when(F.col("block_idx") % 50 == 49, "down"))
+    out = ga.two_phases(b, _global_rules(spark), failing, ga.pattern_extractor(_GLOBAL))
+    return out.entries.agg(F.lit(out.status).alias("status"), F.count("error").alias("failed"))
+
+
+@Q.add(
+    sql=f"""WITH {_FOUND}, {_CONFLICTS}, {_V}, {_KEYED},
+old AS (SELECT doc_id, e_uuid AS uuid, coalesce(v.rule_id, '') AS rule_id, coalesce(v.violation_text, '') AS violation_text FROM v WHERE coalesce(v.rule_id, '') NOT IN ('G1', 'G2', 'G3')),
+new_ AS (SELECT DISTINCT doc_id, uuid, rule_id, evidence AS violation_text, coalesce(uuid_end, '') AS e FROM c WHERE values_ > 1 AND coalesce(uuid, '') <> '' AND EXISTS (SELECT 1 FROM b k WHERE k.doc_id = c.doc_id AND k.uuid = c.uuid))
+SELECT 'old' AS source, rule_id, count(*) AS n FROM old GROUP BY ALL UNION ALL SELECT 'new', rule_id, count(*) FROM new_ GROUP BY ALL""".replace(f", {_KEYED}", "").replace("FROM b k WHERE k.doc_id = c.doc_id AND k.uuid = c.uuid", "FROM blocks k WHERE k.doc_id = c.doc_id AND coalesce(nullif(k.uuid, ''), CAST(k.block_idx AS VARCHAR)) = c.uuid")
+)
+def audit_global_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of the global rules merged into the manifest, twice over with the same result."""
+    b, rules = table(spark, d, "blocks"), _global_rules(spark)
+    out = ga.two_phases(b.dropDuplicates(["doc_id", "block_idx"]), rules, lambda x: au.audit_by_rules(x, _RULES), ga.pattern_extractor(_GLOBAL), budget=10**8, workers=spark.sparkContext.defaultParallelism)
+    m = ga.merged(table(spark, d, "manifest"), out.findings, b, rules)
+    return m.groupBy("source", F.coalesce("rule_id", F.lit("")).alias("rule_id")).agg(F.count("*").alias("n"))
 
 
 @Q.add(
