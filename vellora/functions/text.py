@@ -195,6 +195,41 @@ def json_escape(c: Column) -> Column:
     return F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":"|"\}$', "")
 
 
+def json_unescape(c: Column) -> Column:
+    """Text that stands inside JSON quotes as it reads (P23); null where it is cut inside an escape or otherwise no JSON."""
+    return F.from_json(F.concat(F.lit('{"v":"'), c, F.lit('"}')), "v string")["v"]
+
+
+def unescaped_offset(escaped: Column, at: Column) -> Column:
+    """Place in the plain text of a place in its escaped form (P23); inside an escape, that of the escaped character.
+
+    An escape has at most six characters, so the text up to one of the six places before can be read.
+    """
+    read = [F.length(json_unescape(F.substring(escaped, F.lit(1), at - k))) for k in range(6)]
+    return F.coalesce(*[F.when(at - k >= 0, r) for k, r in enumerate(read)])
+
+
+def in_order_once(values: Column) -> Column:
+    """Elements of an array in order, each once, nulls left out."""
+    return F.array_distinct(F.array_compact(values))
+
+
+TABLE_CHECK_LIMIT = 8000
+
+
+def table_over_limit(c: Column, limit: int = TABLE_CHECK_LIMIT) -> Column:
+    """Whether a table's text is above the limit in the size estimate."""
+    return F.coalesce(c.startswith("<table>") & (estimate_tokens(c) > limit), F.lit(False))
+
+
+def quote_shape(c: Column) -> Column:
+    """What a quote is (F09): table (a whole one, or tagged), rows (several JSON rows), row (one), text; null stays null."""
+    return (
+        F.when(c.isNull(), None).when(c.contains("<table>") | c.startswith('[["'), "table")
+        .when(c.startswith('["') & c.rlike(r'"\], *\["'), "rows").when(c.startswith('["'), "row").otherwise("text")
+    )
+
+
 def json_row(cells: Column) -> Column:
     """An array of texts as a JSON list with a blank after each comma."""
     return F.concat(F.lit("["), F.array_join(F.transform(cells, lambda x: F.when(x.isNull(), "null").otherwise(F.concat(F.lit('"'), json_escape(x), F.lit('"')))), ", "), F.lit("]"))

@@ -152,7 +152,7 @@ def verify(packed: DataFrame, verifier: Callable[[str, list[dict]], list[dict]]
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["block_idx", "item_no"])
         rule = p["rule_id"].iloc[0]
-        rows = [{**r, "fields": [dict(f) for f in r["fields"]]} for r in p[["uuid", "uuid_end", "p_heading", "entity", "fields"]].to_dict("records")]
+        rows = [{**r, "fields": [dict(f) for f in (() if r["fields"] is None else r["fields"]) if f is not None]} for r in p[["uuid", "uuid_end", "p_heading", "entity", "fields"]].to_dict("records")]
         found, error = [], None
         try:
             answer = with_retries(lambda _: verifier(rule, rows), {}, tries, first_wait)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellora.functions import prompts as pr
 from vellora.functions import tables as tb
 from vellora.functions import text as tx
 from vellora.plans.registry import Registry
@@ -48,11 +49,11 @@ def fn_clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "edit_items").select("item_id", tx.sanitize_xml(v).alias("clean"), tx.preview(v).alias("preview"), tx.rtrim_lines(tx.strip_markup(v)).alias("plain")).distinct()
 
 
-@Q.add(sql="SELECT DISTINCT doc_id, block_idx, CASE WHEN length(heading) > 24 THEN substr(heading, 1, 21) || '...' ELSE heading END AS short, coalesce(length(heading) > 200, false) AS too_long FROM blocks")
+@Q.add(sql="SELECT DISTINCT doc_id, block_idx, CASE WHEN length(h) > 200 THEN substr(h, 1, 197) || '...' ELSE h END AS short, coalesce(length(h) > 200, false) AS too_long FROM (SELECT *, repeat(heading, 1 + block_idx % 12) AS h FROM blocks)")
 def fn_headings(spark: SparkSession, d: str) -> DataFrame:
-    """Truncation (here to 24) and the length test."""
-    h = F.col("heading")
-    return table(spark, d, "blocks").select("doc_id", "block_idx", tx.truncate_heading(h, 24).alias("short"), F.coalesce(F.length(h) > tx.HEADING_LIMIT, F.lit(False)).alias("too_long")).distinct()
+    """Truncation and the length test, of headings repeated up to twelve times."""
+    b = table(spark, d, "blocks").select("doc_id", "block_idx", F.expr("repeat(heading, 1 + block_idx % 12)").alias("h"))
+    return b.select("doc_id", "block_idx", tx.truncate_heading(F.col("h")).alias("short"), F.coalesce(F.length("h") > tx.HEADING_LIMIT, F.lit(False)).alias("too_long")).distinct()
 
 
 _NUMBERED = "(SELECT DISTINCT item_id, CASE item_id % 8 WHEN 0 THEN '1.1 ' WHEN 1 THEN 'a) ' WHEN 2 THEN '• ' WHEN 3 THEN '表 3 ' WHEN 4 THEN '注：' WHEN 5 THEN '2024 ' WHEN 6 THEN '7 ' ELSE '' END || violation_text AS t FROM edit_items)"
@@ -98,17 +99,17 @@ def _cn_sql(n: str) -> str:
 
 
 @Q.add(
-    sql=f"""SELECT n, chr(CAST(97 + (n - 1) % 26 AS INT)) AS letter, lower({_roman_sql('n')}) AS roman, {_cn_sql('n')} AS chinese, substr('{tx._STEMS}', CAST((n - 1) % 10 AS INT) + 1, 1) AS stem,
+    sql=f"""SELECT n, chr(CAST(97 + (n - 1) % 26 AS INT)) AS letter, chr(CAST(65 + (n - 1) % 26 AS INT)) AS capital, lower({_roman_sql('n')}) AS roman, {_roman_sql('n')} AS great, '•' AS bullet, '' AS nothing, CAST(n AS VARCHAR) AS decimal, {_cn_sql('n')} AS chinese, substr('{tx._STEMS}', CAST((n - 1) % 10 AS INT) + 1, 1) AS stem,
 '第' || ({_cn_sql('n')}) || '章' AS chapter, CAST(n AS VARCHAR) || '.' || CAST(n + 1 AS VARCHAR) AS legal
-FROM (SELECT DISTINCT l_suppkey AS n FROM lineitem WHERE l_suppkey > 0)"""
+FROM (SELECT DISTINCT l_orderkey AS n FROM lineitem WHERE l_orderkey > 0)"""
 )
 def fn_number_formats(spark: SparkSession, d: str) -> DataFrame:
     """Counters in number formats and label templates."""
-    n = table(spark, d, "lineitem").filter("l_suppkey > 0").select(F.col("l_suppkey").alias("n")).distinct()
+    n = table(spark, d, "lineitem").filter("l_orderkey > 0").select(F.col("l_orderkey").alias("n")).distinct()
     f = lambda k: tx.format_number(F.col("n"), F.lit(k))
     level = lambda x, k: F.struct(x.alias("n"), F.lit(k).alias("fmt"))
     return n.select(
-        "n", f("lowerLetter").alias("letter"), f("lowerRoman").alias("roman"), f("chineseCountingThousand").alias("chinese"), f("ideographTraditional").alias("stem"),
+        "n", f("lowerLetter").alias("letter"), f("upperLetter").alias("capital"), f("lowerRoman").alias("roman"), f("upperRoman").alias("great"), f("bullet").alias("bullet"), f("none").alias("nothing"), f("decimal").alias("decimal"), f("chineseCountingThousand").alias("chinese"), f("ideographTraditional").alias("stem"),
         tx.format_label(F.lit("第%1章"), F.array(level(F.col("n"), "chineseCountingThousand")), F.lit(False)).alias("chapter"),
         tx.format_label(F.lit("%1.%2"), F.array(level(F.col("n"), "upperRoman"), level(F.col("n") + 1, "decimal")), F.lit(True)).alias("legal"),
     )
@@ -161,24 +162,48 @@ def fn_status_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "edit_items").select("item_id", tx.status_summary(F.col("violation_reason")).alias("summary")).distinct()
 
 
-@Q.add(
-    sql=f"""SELECT DISTINCT doc_id, block_idx, 'Section hierarchy context: ' || CASE WHEN up <> '' THEN up || '  → ' || h ELSE h END || chr(10) || chr(10) || 'Content:' || chr(10) || coalesce({strip_sql('content')}, '') AS prompt
-FROM (SELECT *, coalesce(nullif({strip_sql('heading')}, ''), 'Unknown') AS h,
-coalesce(array_to_string(list_filter(list_transform(parent_headings, lambda x: {strip_sql('x')}), lambda x: x IS NOT NULL AND x <> ''), ' → '), '') AS up FROM blocks WHERE table_header IS NULL)"""
-)
+def _quoted(c: str) -> str:
+    """A text as a list shows it, in SQL."""
+    q, dq, bs = "''''", "chr(34)", "chr(92)"
+    e = f"replace(replace(replace({c}, {bs}, {bs} || {bs}), chr(10), {bs} || 'n'), chr(9), {bs} || 't')"
+    return f"CASE WHEN {c} IS NULL THEN 'None' WHEN contains({c}, {q}) AND NOT contains({c}, {dq}) THEN {dq} || {e} || {dq} ELSE {q} || replace({e}, {q}, {bs} || {q}) || {q} END"
+
+
+_UP = f"coalesce(array_to_string(list_filter(list_transform(parent_headings, lambda x: {strip_sql('x')}), lambda x: x IS NOT NULL AND x <> ''), ' → '), '')"
+_HEADER = f"CASE WHEN len(table_header) > 0 THEN chr(10) || 'Table header context: [' || array_to_string(list_transform(table_header, lambda r: '[' || array_to_string(list_transform(r, lambda c: {_quoted('c')}), ', ') || ']'), ', ') || ']' ELSE '' END"
+
+
+def _prompt_sql(header: str) -> str:
+    return f"'Section hierarchy context: ' || CASE WHEN up <> '' THEN up || '  → ' || h ELSE h END || {header} || chr(10) || chr(10) || 'Content:' || chr(10) || coalesce({strip_sql('content')}, '')"
+
+
+_SHOWN = f"(SELECT *, coalesce(nullif({strip_sql('heading')}, ''), 'Unknown') AS h, {_UP} AS up FROM blocks)"
+
+
+@Q.add(sql=f"SELECT DISTINCT doc_id, block_idx, {_prompt_sql(_HEADER)} AS audit, {_prompt_sql(chr(39) * 2)} AS extract FROM {_SHOWN}")
 def fn_block_prompt(spark: SparkSession, d: str) -> DataFrame:
-    """The auditor's view of the blocks without a table header."""
+    """All blocks as the auditor reads them, and as the extractor does."""
     c = F.col
-    b = table(spark, d, "blocks").filter("table_header is null")
-    return b.select("doc_id", "block_idx", tx.block_prompt(c("heading"), c("parent_headings"), c("table_header"), c("content")).alias("prompt")).distinct()
+    b = table(spark, d, "blocks")
+    return b.select("doc_id", "block_idx", pr.audit_user(c("heading"), c("parent_headings"), c("table_header"), c("content")).alias("audit"), pr.extract_user(c("heading"), c("parent_headings"), c("content")).alias("extract")).distinct()
 
 
-@Q.add()
-def fn_block_prompt_tables(spark: SparkSession, d: str) -> DataFrame:
-    """The same for blocks with a table header."""
+@Q.add(
+    sql=f"""WITH i AS (SELECT DISTINCT item_id, rule_id, category, heading, uuid, violation_text FROM edit_items WHERE rule_id IS NOT NULL)
+SELECT item_id, '- [' || rule_id || '] ' || coalesce({strip_sql('heading')}, '') || ': ' || coalesce({strip_sql('violation_text')}, '') || chr(10) || '  entity: ' || coalesce(nullif({strip_sql('category')}, ''), 'any') || chr(10) || '  - value: one' || chr(10) || '  - old: legacy (evidence: words)' AS definition,
+'{pr.VERIFY}' || chr(10) || chr(10) || 'Rule [' || rule_id || '] ' || coalesce({strip_sql('heading')}, '') || ': ' || coalesce({strip_sql('violation_text')}, '') AS system,
+'Items:' || chr(10) || '1. ' || coalesce(uuid, 'none') || chr(10) || '2. ' || coalesce(category, 'none') AS user FROM i"""
+)
+def fn_global_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions with fields of both shapes, and the verifier's texts."""
     c = F.col
-    b = table(spark, d, "blocks").filter("table_header is not null")
-    return b.select("doc_id", "block_idx", tx.block_prompt(c("heading"), c("parent_headings"), c("table_header"), c("content")).alias("prompt")).distinct()
+    i = table(spark, d, "edit_items").filter("rule_id is not null").select("item_id", "rule_id", "category", "heading", "uuid", "violation_text").distinct()
+    m = lambda *kv: F.create_map(*[F.lit(x) for x in kv])
+    fields = tx.extracted_fields(F.array(m("name", "value", "desc", " one "), F.lit(None).cast("map<string,string>"), m("old", "legacy", "evidence", "words")))
+    return i.select(
+        "item_id", pr.definition(c("rule_id"), c("heading"), c("violation_text"), c("category"), fields).alias("definition"), pr.verify_system(c("rule_id"), c("heading"), c("violation_text")).alias("system"),
+        pr.verify_user(F.array(F.coalesce("uuid", F.lit("none")), F.coalesce("category", F.lit("none")))).alias("user"),
+    )
 
 
 @Q.add(
@@ -198,16 +223,86 @@ OR (contains(m, '400') AND contains(m, 'bad request')) OR (contains(m, 'model')
 FROM (SELECT msg, lower(msg) AS m FROM (SELECT DISTINCT coalesce(violation_reason, '') || CASE item_id % 7 WHEN 0 THEN ' 429 rate limit' WHEN 1 THEN ' 403 Forbidden' WHEN 2 THEN ' Model not found' WHEN 3 THEN ' quota exceeded' WHEN 4 THEN ' invalid argument' WHEN 5 THEN ' billing' ELSE '' END AS msg FROM edit_items))"""
 )
 def fn_retryable(spark: SparkSession, d: str) -> DataFrame:
-    """which failures are worth another try."""
+    """which failures are worth another try, by their message."""
     m = table(spark, d, "edit_items").selectExpr("concat(coalesce(violation_reason, ''), case item_id % 7 when 0 then ' 429 rate limit' when 1 then ' 403 Forbidden' when 2 then ' Model not found' when 3 then ' quota exceeded' when 4 then ' invalid argument' when 5 then ' billing' else '' end) as msg").distinct()
     return m.select("msg", tx.message_retryable(F.col("msg")).alias("retry"))
 
 
+@Q.add(
+    sql="""WITH k AS (SELECT DISTINCT ['AuthenticationError', 'RateLimitError', 'APIStatusError', 'InternalServerError', 'NotFoundError', 'Other', NULL][item_id % 7 + 1] AS kind, [429, 500, 404, 503, 400, NULL][item_id % 6 + 1] AS status FROM edit_items)
+SELECT kind, status, CASE WHEN kind IN ('AuthenticationError', 'NotFoundError') THEN false WHEN kind = 'APIStatusError' THEN coalesce(status IN (429, 500, 503), false) ELSE true END AS retry FROM k"""
+)
+def fn_status_retryable(spark: SparkSession, d: str) -> DataFrame:
+    """failures by kind and status."""
+    kinds, states = ["AuthenticationError", "RateLimitError", "APIStatusError", "InternalServerError", "NotFoundError", "Other", None], [429, 500, 404, 503, 400, None]
+    at = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("item_id") % n + 1).cast("int"))
+    k = table(spark, d, "edit_items").select(at(kinds, 7).alias("kind"), at(states, 6).alias("status")).distinct()
+    return k.select("kind", "status", tx.status_retryable(F.col("kind"), F.col("status")).alias("retry"))
+
+
+@Q.add(
+    sql="""WITH t AS (SELECT DISTINCT doc_id, pos, text[9:-10] AS body FROM paragraphs WHERE is_table AND text LIKE '<table>[[%]]</table>'),
+m AS (SELECT *, string_split(body[3:-3], '"], ["') AS r FROM t)
+SELECT doc_id, pos, '["' || list_filter(r, lambda x: contains(x, 'final'))[1] || '"]' AS hit, '["' || r[1] || '"]' AS first, body AS fixed FROM m"""
+)
+def fn_matching_row(spark: SparkSession, d: str) -> DataFrame:
+    """The first row of each table that holds a word, and doubled brackets taken off."""
+    t = table(spark, d, "paragraphs").filter("is_table and text like '<table>[[%]]</table>'").select("doc_id", "pos", F.expr("substring(text, 8, length(text) - 15)").alias("j")).distinct()
+    rows = tx.fix_table_json(F.col("j"))
+    return t.select("doc_id", "pos", tx.matching_row(rows, F.lit("final")).alias("hit"), tx.matching_row(rows, F.lit("")).alias("first"), rows.alias("fixed"))
+
+
+@Q.add(sql="SELECT DISTINCT item_id, violation_text AS text, CAST(least(20, length(violation_text)) AS INTEGER) AS place FROM edit_items WHERE violation_text IS NOT NULL")
+def fn_json_escape(spark: SparkSession, d: str) -> DataFrame:
+    """Quotes escaped and read again, and the place of their twentieth character told from the escaped form."""
+    i = table(spark, d, "edit_items").filter("violation_text is not null").select("item_id", F.concat("violation_text").alias("t")).distinct()
+    e = i.withColumns({"e": tx.json_escape(F.col("t")), "at": F.length(tx.json_escape(F.substring("t", 1, 20)))})
+    return e.select("item_id", tx.json_unescape(F.col("e")).alias("text"), tx.unescaped_offset(F.col("e"), F.col("at")).alias("place"))
+
+
+@Q.add(sql=f"WITH t AS (SELECT DISTINCT doc_id, pos, text FROM paragraphs WHERE text IS NOT NULL) SELECT doc_id, pos, {est_sql('text')} > 60 AND text LIKE '<table>%' AS over, CASE WHEN text LIKE '<table>%' OR text LIKE '[[\"%' THEN 'table' WHEN text LIKE '[\"%' THEN 'row' ELSE 'text' END AS shape, CASE WHEN is_table THEN CASE WHEN len(string_split(text, '\"], [\"')) > 1 THEN 'rows' ELSE 'row' END ELSE 'text' END AS inner FROM (SELECT t.*, text LIKE '<table>[[%' AS is_table FROM t)")
+def fn_table_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Tables above a limit (60 here: the tables are small), and what a text quotes."""
+    t = table(spark, d, "paragraphs").filter("text is not null").select("doc_id", "pos", "text").distinct()
+    rows = F.when(F.col("text").like("<table>[[%"), F.expr("substring(text, 9, length(text) - 17)")).otherwise(F.col("text"))
+    return t.select("doc_id", "pos", tx.table_over_limit(F.col("text"), 60).alias("over"), tx.quote_shape(F.col("text")).alias("shape"), tx.quote_shape(rows).alias("inner"))
+
+
+@Q.add(
+    sql=f"""SELECT item_id, CASE WHEN regexp_replace(t, '{AUTO}', '') <> t THEN [regexp_replace(t, '{AUTO}', '')] ELSE [] END AS variants,
+list_filter([t, regexp_replace(t, '{AUTO}', ''), violation_text], lambda x, i: x IS NOT NULL AND list_position([t, regexp_replace(t, '{AUTO}', ''), violation_text], x) = i) AS attempts
+FROM (SELECT *, CASE item_id % 3 WHEN 0 THEN '1.1 ' WHEN 1 THEN 'a) ' ELSE '' END || violation_text AS t FROM (SELECT DISTINCT item_id, violation_text FROM edit_items WHERE violation_text IS NOT NULL AND NOT contains(violation_text, chr(10)) AND NOT contains(violation_text, '\\n')))"""
+)
+def fn_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Search texts without numbering, and attempts once each in order (quotes of one line)."""
+    i = table(spark, d, "edit_items").filter(r"violation_text is not null and not contains(violation_text, '\n') and not contains(violation_text, '\\n')").select("item_id", "violation_text").distinct()
+    i = i.withColumn("t", F.expr("concat(case item_id % 3 when 0 then '1.1 ' when 1 then 'a) ' else '' end, violation_text)"))
+    return i.select(
+        "item_id", F.transform(tx.numbering_variants(F.col("t")), lambda x: x["text"]).alias("variants"), tx.in_order_once(F.array("t", tx.strip_auto_number(F.col("t")), "violation_text")).alias("attempts")
+    )
+
+
+@Q.add(
+    sql=f"""SELECT DISTINCT item_id, CAST(item_id AS VARCHAR) AS id, nullif(coalesce(rule_id, ''), '') AS name, 'see <drawing id="' || item_id || '" name="' || coalesce(rule_id, '') || '" /> there' AS plain, 'jpeg' AS format,
+'gpt-5-' || item_id AS model, true AS reasoning, item_id % 2 = 0 AS not_found, '\\sum{{' || item_id || '}}' AS equation FROM edit_items"""
+)
+def fn_small_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Drawing placeholders, formats, model names, reasons and linear equations."""
+    k = F.col("item_id").cast("string")
+    text = F.concat(F.lit('see <drawing id="'), k, F.lit('" name="'), F.coalesce("rule_id", F.lit("")), F.lit('" path="a/b.png" format="png" /> there'))
+    model = F.concat(F.lit("models/x/gpt-5-"), k)
+    why = F.when(F.col("item_id") % 2 == 0, " NF_C: violation text not found(C)").otherwise("violation text not found")
+    return table(spark, d, "edit_items").select(
+        "item_id", tx.drawing_attribute(text, "id").alias("id"), tx.drawing_attribute(text, "name").alias("name"), tx.normalize_drawings(text).alias("plain"), tx.image_format(F.lit(" image/JPG ")).alias("format"),
+        tx.model_name(model).alias("model"), tx.is_reasoning_model(model).alias("reasoning"), tx.not_found_reason(why).alias("not_found"), tx.clean_linear(F.concat(F.lit("\\sum"), k)).alias("equation"),
+    ).distinct()
+
+
 @Q.add()
 def fn_table_row_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Row numbers stripped from table paragraphs, in all cells and in first cells only."""
+    """Row numbers stripped from table paragraphs, in all cells and in first cells only."""
     t = table(spark, d, "paragraphs").filter("is_table").select("doc_id", "pos", F.regexp_extract("text", "(?s)^<table>(.*)</table>$", 1).alias("j")).distinct()
-    return t.select("doc_id", "pos", tb.strip_row_numbers(F.col("j"), F.lit(True)).alias("all_cells"), tb.strip_row_numbers(F.col("j"), F.lit(False)).alias("first_cells"), tx.fix_table_json(F.col("j")).alias("fixed"))
+    return t.select("doc_id", "pos", tb.strip_row_numbers(F.col("j"), F.lit(True)).alias("all_cells"), tb.strip_row_numbers(F.col("j"), F.lit(False)).alias("first_cells"))
 
 
 @Q.add(
