@@ -171,7 +171,7 @@ def test_all_items_are_packed(spark):
         full = rule in state and int((more[0] * 0.75 + more[1] * 1.0 + more[2] * 0.4) * 1.05) + 2 > 2000
         state[rule] = (own, no + 1) if full else (more, no)
         want.append((rule, item, state[rule][1]))
-    got = [tuple(r) for r in blocks.queries["chunk_pack_all_items"](spark, d).collect()]
+    got = [tuple(r) for r in blocks.queries["chunk_pack_items"](spark, d).collect()]
     assert sorted(got) == sorted(want) and max(w[2] for w in want) > 0
 
 
