@@ -63,10 +63,43 @@ def test_tables_numbering_special():
     cell = lambda t, i: f"<w:tc>{p(t, i)}</w:tc>"
     body = f'<w:tbl><w:tblGrid><w:gridCol/><w:gridCol/></w:tblGrid><w:tr>{cell("pump", "A1")}{cell("old value", "A2")}</w:tr></w:tbl>' + p("numbered text", "A3") + p("", "A9", raw='<w:r><w:drawing/><w:t>pic</w:t></w:r>')
     out, res = ed.apply_items(make(body), [item(1, '["pump", "old value"]', revised='["pump", "new value"]', end="A2"), item(2, "1. numbered text", revised="1. other text", uuid="A3"), item(3, "pic", revised="x", uuid="A3"), item(4, "<equation>a</equation>", revised="b", uuid="A3")])
-    assert [r.status for r in res] == ["success", "success", "special", "special"]
+    assert [r.status for r in res] == ["success", "success", "special", "equation"]
     assert views(out)[0].startswith("pump|new value|other text")
 
 
+def test_edits_over_paragraphs():
+    body = p("First one ends", "A1") + p("middle", "A2") + p("begins the last.", "A3") + p("End", "A9")
+    out, res = ed.apply_items(make(body), [item(1, "ends\nmiddle\nbegins", "delete")])
+    root = dx.parse_xml(zipfile.ZipFile(io.BytesIO(out)).read("word/document.xml"))
+    marks = [q.get(dx.W14 + "paraId") for q in root.iter(dx.W + "p") if q.find(f"{dx.W}pPr/{dx.W}rPr/{dx.W}del") is not None]
+    assert res[0].status == "success" and views(out) == ("First one || the last.|End", "First one ends|middle|begins the last.|End") and marks == ["A1", "A2"]
+    assert len(list(root.iter(dx.W + "commentRangeStart"))) == len(list(root.iter(dx.W + "commentRangeEnd"))) == 1
+    out, res = ed.apply_items(make(body), [item(1, "ends\nmiddle", revised="closes\nmiddle\nmore"), item(2, "middle\nbegins", "manual", "x"), item(3, "ends\nmiddle", "delete")])
+    assert [r.status for r in res] == ["success", "commented", "conflict"] and views(out)[0].startswith("First one closes|middle")
+
+
+def test_rows_of_tables():
+    cell = lambda t, i, pr="": f"<w:tc><w:tcPr>{pr}</w:tcPr>{p(t, i)}</w:tc>"
+    tr = lambda *c: f"<w:tr>{''.join(c)}</w:tr>"
+    tbl = "<w:tbl><w:tblGrid><w:gridCol/><w:gridCol/><w:gridCol/></w:tblGrid>" + tr(cell("1", "B1"), cell("180", "B2"), cell("a", "B3")) + tr(cell("2", "C1"), cell("180", "C2"), cell("b", "C3")) + tr(cell("M", "D1", "<w:vMerge w:val='restart'/>"), cell("wide", "D2", "<w:gridSpan w:val='2'/>")) + tr(cell("", "E1", "<w:vMerge/>"), cell("x", "E2"), cell("y", "E3")) + "</w:tbl>"
+    run = lambda *items: ed.apply_items(make(p("180", "A1") + tbl + p("End", "A9")), list(items))
+    out, res = run(item(1, '["7", "180", "b"]', revised='["7", "200", "b"]'))  # the row's own cell, not the first 180; its number aside
+    assert res[0].status == "success" and views(out)[0] == "180|1|180|a|2|200|b|M|wide||x|y|End"
+    out, res = run(item(1, '["1", "180", "a"], ["2", "180", "b"]', "delete"), item(2, '["M", "wide", ""]', revised='["M", "wider", ""]'), item(3, '["M", "x", "y"]', "manual", "z"))
+    assert [r.status for r in res] == ["success", "success", "commented"] and views(out)[0] == "180|||||||M|wider||x|y|End"
+    out, res = run(item(1, '["1", "180", "zz"]', revised='["1", "1", "zz"]'), item(2, '["1", "180", "a"], ["9", "9", "9"]', "delete"), item(3, '["1", "180", "a"]', revised='["1", "180"]'))
+    assert [r.status for r in res] == ["cross_cell", "cross_row", "cross_cell"] and views(out)[0] == views(out)[1]
+
+
+def test_drawings_stay_in_what_is_kept():
+    raw = '<w:r><w:t xml:space="preserve">see </w:t></w:r><w:r><w:drawing/><w:t>pic</w:t></w:r><w:r><w:t xml:space="preserve"> and more</w:t></w:r>'
+    out, res = ed.apply_items(make(p("", "A1", raw=raw)), [item(1, "see pic and more", revised="look at pic and more", end="A1")])
+    body = zipfile.ZipFile(io.BytesIO(out)).read("word/document.xml").decode()
+    assert res[0].status == "success" and body.count("<w:drawing") == 1 and views(out)[0] == "look at pic and more"
+    out, res = ed.apply_items(make(p("", "A1", raw=raw)), [item(1, "see pic and", revised="see and", end="A1")])
+    assert res[0].status == "special" and views(out)[0] == views(out)[1]
+
+
 def test_operator(spark):
     docs = spark.createDataFrame([("d", make(BODY), "sha256:x"), ("e", make(p("x", "A1")), None)], "doc_id string, content binary, source_hash string")
     rows = [{**item(1, "was was", revised="was"), "doc_id": "d"}, {**item(2, None, "delete", None), "doc_id": "d"}, {**item(1, "was was", revised="was"), "doc_id": "d"}, {**item(3, "x", revised="y"), "doc_id": "gone"}]

@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -132,6 +133,48 @@ def test_location(spark):
     assert [r.m_start for r in mt.revised_overlap(runs, m).collect()] == [3]
 
 
+def test_quotes_in_tables(spark):
+    P = "doc_id string, pos long, text string, para_id string, para_id_end string, is_table boolean, level int"
+    rows = [["1", 'say "hi"\tnow', "plain"], ["2", "back\\slash here", "tail cell"], ["3", "first line\nsecond line", None]]
+    text = f"<table>{json.dumps(rows, ensure_ascii=False)}</table>"
+    paras = spark.createDataFrame([("d", 0, "before the table", "A", None, False, None), ("d", 1, text, "B", "C", True, None), ("d", 2, "after the table comes text", "D", None, False, None)], P)
+    quotes = {
+        "row": '["7", "back\\\\slash here", "tail cell"]', "rows": '["1", "back\\\\slash here", "tail cell"], ["9", "first line\\nsecond line", null]', "cell": 'say "hi"\tnow', "lines": "first line\nsecond line",
+        "crossed": 'gone", "tail cell', "border": "absent words\nafter the table comes", "tag": "after the table <table>x</table>", "none": 'not "here"', "plain": "tail cell",
+    }
+    items = spark.createDataFrame([(k, "d", "A", "D", q, "replace" if k == "tag" else "manual") for k, q in quotes.items()], "item_id string, doc_id string, uuid string, uuid_end string, violation_text string, fix_action string")
+    got = {r.item_id: (r.status, r.rank, r.pos) for r in mt.locate(items, paras).collect()}
+    assert got == {
+        "row": ("found", 6, 1), "rows": ("found", 6, 1), "cell": ("found", 8, 1), "lines": ("found", 8, 1), "crossed": ("found", 9, 1), "border": ("found", 9, 2), "tag": ("fallback", 0, 2), "none": ("not_found", None, None), "plain": ("found", 1, 1),
+    }
+    body = json.dumps(rows, ensure_ascii=False)[1:-1]
+    for c in mt.table_cells(paras).collect():
+        shown = "null" if c.cell is None else json.dumps(c.cell, ensure_ascii=False)[1:-1]
+        assert body[c.at : c.at + len(shown)] == shown and rows[c.row][c.col] == c.cell
+
+
+def test_no_pair_is_missed_by_words(spark):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "§", "1.", "2)", "x<sup>2</sup>", "gamma-ray", "电池。", "•", "delta", "\n", "  "]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(3, 14))) for _ in range(60)]
+    P = "doc_id string, pos long, text string, para_id string, para_id_end string, is_table boolean, level int"
+    paras = spark.createDataFrame([("d", i, t, f"P{i}", None, False, None) for i, t in enumerate(texts)], P)
+    quotes = [t[a:b] for t in texts for a in [rng.randrange(len(t))] for b in [rng.randrange(a, len(t)) + 1]] + ["1. beta", "2) alpha  ", "x2"]
+    items = spark.createDataFrame([(i, "d", "P0", "gone", q) for i, q in enumerate(quotes)], "item_id int, doc_id string, uuid string, uuid_end string, violation_text string")
+    forms = mt.ranges(items, paras).join(items.select("item_id", *mt.quote_forms(F.col("violation_text"))), "item_id")
+    t = paras.select("doc_id", "pos", *mt.text_forms(F.col("text")))
+    hits = lambda pairs: {(r.item_id, r.pos, r.rank) for r in pairs.join(t, ["doc_id", "pos"]).join(forms.select("item_id", "q1", "q2", "q3", "q4", "q7"), "item_id").withColumn("hit", mt.ladder()).filter("hit is not null").select("item_id", "pos", "hit.rank").collect()}
+    every = mt.paragraphs_in_range(forms.select("item_id", "doc_id", "start_pos", "end_pos"), t.select("doc_id", "pos")).select("item_id", "doc_id", "pos")
+    assert hits(mt.candidates(forms, t)) == hits(every)
+
+
+def test_way_back_from_trimmed_lines(spark):
+    t = "ab  \ncd\t \n\nef"
+    plain = "ab\ncd\n\nef"
+    at = [r.o for r in spark.range(len(plain) + 1).select(mt.original_offset(F.lit(t), F.col("id").cast("int")).alias("o")).collect()]
+    assert at == [0, 1, 2, 5, 6, 7, 10, 11, 12, 13]
+
+
 def test_sheet_and_page():
     f = io.BytesIO()
     assert jl.write_xlsx(f, ["a", "b"], [("<x>", None)]) == 1

@@ -208,16 +208,125 @@ class Document:
         el.append(run)
         return el
 
-    def edit(self, p: ET.Element, start: int, ops: list[tuple[str, str, str | None]], author: str, reason: str) -> str:
-        """Applies differences to the text from ``start`` of a paragraph (E04, E05): success, conflict or special."""
+    def text(self, i: int) -> str:
+        """Original text of the i-th paragraph."""
+        return "".join(x.text for x in self.pieces(self.paras[i]))
+
+    def touched(self, p: ET.Element, start: int, ops: list[tuple[str, str, str | None]]) -> tuple[str, list[Piece]]:
+        """Whether differences can be applied from ``start`` of a paragraph: success, conflict or special, and the pieces they touch."""
         end = start + sum(len(t) for op, t, _ in ops if op != "insert")
         hit = [x for x in self.pieces(p) if x.start < end and x.start + len(x.text) > start]
-        if not hit:
-            return "special"
-        if any(x.changed for x in hit):
-            return "conflict"
-        if any(x.whole for x in hit):
-            return "special"
+        status = "special" if not hit else "conflict" if any(x.changed for x in hit) else "success"
+        if status == "success" and any(x.whole for x in hit):
+            # a run that cannot be cut stays as it is: the change must leave all of it alone
+            at = start
+            for op, t, _ in ops:
+                if op != "insert":
+                    if op == "delete" and any(x.whole and x.start < at + len(t) and x.start + len(x.text) > at for x in hit):
+                        status = "special"
+                    at += len(t)
+            if any(x.whole and (x.start < start or x.start + len(x.text) > end) for x in hit):
+                status = "special"
+        return status, hit
+
+    def edit_range(self, places: list[int], offset: int, ops: list[tuple[str, str, str | None]], author: str, reason: str) -> str:
+        """Applies differences of a text that runs over paragraphs, joined by line feeds (E06), under one comment.
+
+        A deleted line feed deletes the paragraph's mark, so that it runs on in the next; an inserted one is a line break.
+        All paragraphs are looked at before the first is changed.
+        """
+        parts: list[list[tuple[str, str, str | None]]] = [[] for _ in places]
+        marks: set[int] = set()
+        k = 0
+        for op, t, v in ops:
+            for j, line in enumerate(t.split("\n")):
+                if j and op == "insert":
+                    parts[k].append(("insert", "\n", v))
+                elif j:
+                    if op == "delete":
+                        marks.add(k)
+                    k += 1
+                if line:
+                    parts[k].append((op, line, v))
+        changes = any(op != "equal" for op, _, _ in ops)  # then paragraphs that stay as they are need not be touched
+        jobs = [(k, offset if k == 0 else 0) for k, x in enumerate(parts) if any(op != "insert" for op, _, _ in x) and (not changes or any(op != "equal" for op, _, _ in x))]
+        bad = [status for k, at in jobs if (status := self.touched(self.paras[places[k]], at, parts[k])[0]) != "success"]
+        if bad or not jobs:
+            return "conflict" if "conflict" in bad else "special"
+        for n, (k, at) in enumerate(jobs):
+            self.edit(self.paras[places[k]], at, parts[k], author, reason, opens=n == 0, closes=n == len(jobs) - 1)
+        for k in sorted(marks):
+            self._delete_mark(self.paras[places[k]], author)
+        return "success"
+
+    def _delete_mark(self, p: ET.Element, author: str) -> None:
+        props = p.find(W + "pPr")
+        if props is None:
+            props = ET.Element(W + "pPr")
+            p.insert(0, props)
+        run = props.find(W + "rPr")
+        run = ET.SubElement(props, W + "rPr") if run is None else run
+        run.insert(0, ET.Element(W + "del", {W + "id": str(self.next_change), W + "author": author, W + "date": self.date}))
+        self.next_change += 1
+
+    def table_rows(self, places: list[int]) -> list[tuple[int, list[tuple[bool, list[int]]]]]:
+        """Rows of the tables among the paragraphs (M05): (number of the table, grid columns as (filled from above, places)).
+
+        A cell over several columns stands in its first one; the others are empty.
+        """
+        at = {id(p): i for i, p in enumerate(self.paras)}
+        tables = list({id(self.table[i]): self.table[i] for i in places if self.table[i] is not None}.values())
+        out = []
+        for n, t in enumerate(tables):
+            for tr in t.findall(W + "tr"):
+                row: list[tuple[bool, list[int]]] = []
+                for tc in tr.findall(W + "tc"):
+                    merge, span = tc.find(f"{W}tcPr/{W}vMerge"), tc.find(f"{W}tcPr/{W}gridSpan")
+                    above = merge is not None and merge.get(W + "val") in (None, "continue")
+                    row.append((above, [at[id(p)] for p in tc.findall(W + "p")]))
+                    row += [(False, [])] * (int(span.get(W + "val") or 1) - 1 if span is not None else 0)
+                out.append((n, row))
+        return out
+
+    def quoted_rows(self, places: list[int], quoted: list[list]) -> list[list[tuple[bool, list[int]]]] | None:
+        """The neighbouring table rows a quote of rows stands for, row numbers aside; None if there are none."""
+        plain = lambda s: tb.unnumbered_lines(_TAG.sub("", str(s if s is not None else ""))).strip()
+        rows = self.table_rows(places)
+
+        def same(row: list[tuple[bool, list[int]]], want: list) -> bool:
+            if len(row) != len(want):
+                return False
+            for j, ((above, at), w) in enumerate(zip(row, want)):
+                text = "\n".join(self.text(i) for i in at)
+                number = j == 0 and tb._ROW.fullmatch(str(w or "").strip()) and (not text.strip() or tb._ROW.fullmatch(text.strip()))
+                if not (number or above and not text.strip() or plain(text) == plain(w)):
+                    return False
+            return True
+
+        for a in range(len(rows) - len(quoted) + 1):
+            part = rows[a : a + len(quoted)]
+            if len({n for n, _ in part}) == 1 and all(same(r, w) for (_, r), w in zip(part, quoted)):
+                return [r for _, r in part]
+        return None
+
+    def comment_range(self, first: int, last: int, text: str, author: str) -> None:
+        """A comment over whole paragraphs, in their order in the document."""
+        first, last = min(first, last), max(first, last)
+        cid = {W + "id": str(self.next_comment)}
+        p = self.paras[first]
+        p.insert(1 if len(p) and p[0].tag == W + "pPr" else 0, ET.Element(W + "commentRangeStart", cid))
+        self.paras[last].append(ET.Element(W + "commentRangeEnd", cid))
+        self.comment_on(self.paras[last], text, author)
+
+    def edit(self, p: ET.Element, start: int, ops: list[tuple[str, str, str | None]], author: str, reason: str, opens: bool = True, closes: bool = True) -> str:
+        """Applies differences to the text from ``start`` of a paragraph (E04, E05): success, conflict or special.
+
+        ``opens`` and ``closes`` tell whether the comment's range begins and ends here.
+        """
+        end = start + sum(len(t) for op, t, _ in ops if op != "insert")
+        status, hit = self.touched(p, start, ops)
+        if status != "success":
+            return status
         parent = {c: e for e in p.iter() for c in e}
         marks = [(max(x.start, start), min(x.start + len(x.text), end), x) for x in hit]
         new: dict[int, list[ET.Element]] = {id(x.run): [] for x in hit}
@@ -225,7 +334,8 @@ class Document:
         if start > hit[0].start:
             put(hit[0], self._run(hit[0].run, hit[0].text[: start - hit[0].start]))
         cid, at = self.next_comment, start
-        put(hit[0], ET.Element(W + "commentRangeStart", {W + "id": str(cid)}))
+        if opens:
+            put(hit[0], ET.Element(W + "commentRangeStart", {W + "id": str(cid)}))
         for op, t, v in ops:
             if op == "insert":
                 x = next((m for m in marks if m[0] <= at <= m[1]), marks[-1])[2]
@@ -233,13 +343,16 @@ class Document:
                 continue
             for a, b, x in marks:
                 lo, hi = max(a, at), min(b, at + len(t))
-                if lo < hi:
+                if lo < hi and x.whole:
+                    put(x, x.run)
+                elif lo < hi:
                     r = self._run(x.run, x.text[lo - x.start : hi - x.start], deleted=op == "delete")
                     put(x, self._change("del", author, r) if op == "delete" else r)
             at += len(t)
         last = hit[-1]
-        put(last, ET.Element(W + "commentRangeEnd", {W + "id": str(cid)}))
-        put(last, self._reference(cid))
+        if closes:
+            put(last, ET.Element(W + "commentRangeEnd", {W + "id": str(cid)}))
+            put(last, self._reference(cid))
         if end < last.start + len(last.text):
             put(last, self._run(last.run, last.text[end - last.start :]))
         for x in hit:
@@ -248,7 +361,8 @@ class Document:
             host.remove(x.run)
             for el in reversed(new[id(x.run)]):
                 host.insert(k, el)
-        self._note(reason, author)
+        if closes:
+            self._note(reason, author)
         return "success"
 
     def _reference(self, cid: int) -> ET.Element:
@@ -304,7 +418,7 @@ class Document:
 # ---- items ---------------------------------------------------------------------------------------------------------
 
 #: Outcome of each status (E12): success, warning.
-MATRIX = {"success": (True, False), "commented": (True, False), "conflict": (True, True), "special": (True, True), "not_found": (True, True), "no_anchor": (False, False)}
+MATRIX = {"success": (True, False), "commented": (True, False), "conflict": (True, True), "special": (True, True), "cross_row": (True, True), "cross_cell": (True, True), "equation": (True, True), "not_found": (True, True), "no_anchor": (False, False)}
 
 
 def _occurrences(doc: Document, places: list[int], quote: str) -> Iterator[tuple[ET.Element, int]]:
@@ -316,12 +430,57 @@ def _occurrences(doc: Document, places: list[int], quote: str) -> Iterator[tuple
             at = text.find(quote, at + 1)
 
 
+def _joined(doc: Document, places: list[int], quote: str) -> tuple[list[int], int] | None:
+    """The paragraphs a quote of several lines begins and ends in, and its place in the first; None if they do not hold it."""
+    lines = quote.split("\n")
+    for k in range(len(places) - len(lines) + 1):
+        span = places[k : k + len(lines)]
+        texts = [doc.text(i) for i in span]
+        if texts[0].endswith(lines[0]) and texts[-1].startswith(lines[-1]) and texts[1:-1] == lines[1:-1]:
+            return span, len(texts[0]) - len(lines[0])
+    return None
+
+
+def _edit_rows(doc: Document, places: list[int], old: list[list], new: list[list] | None, author: str, why: str) -> str:
+    """Changes quoted table rows cell by cell (E07); without ``new`` the text of all their cells is deleted.
+
+    The outcome is cross_row or cross_cell where the rows are not in the document or change their shape.
+    """
+    lost = "cross_row" if len(old) > 1 else "cross_cell"
+    if new is not None and [len(r) for r in old] != [len(r) for r in new]:
+        return lost
+    rows = doc.quoted_rows(places, old)
+    if rows is None:
+        return lost
+    jobs = []
+    for i, row in enumerate(rows):
+        for j, (above, at) in enumerate(row):
+            was = "\n".join(doc.text(k) for k in at)
+            if above or not at or not was:
+                continue
+            if new is None:
+                jobs.append((at, was, ""))
+            elif old[i][j] != new[i][j]:
+                jobs.append((at, was, str(new[i][j] if new[i][j] is not None else "")))
+    if not jobs:
+        return lost
+    ready = [(at, markup_diff(a, b) if b else [("delete", a, None)]) for at, a, b in jobs]
+    for at, ops in ready:  # all cells are looked at before the first is changed
+        if len(at) == 1 and (bad := doc.touched(doc.paras[at[0]], 0, ops)[0]) != "success":
+            return bad
+    for at, ops in ready:
+        got = doc.edit_range(at, 0, ops, author, why)
+        if got != "success":
+            return got
+    return "success"
+
+
 def apply_item(doc: Document, item: dict) -> Result:
     """One item in its turn (E11): the first place of the quote that no earlier edit touched is changed.
 
-    Quotes are tried as they are, then without numbering, then without tags. Edits across paragraphs change each
-    paragraph on its own (E06); quoted table rows change cell by cell (E07). What cannot be changed gets a comment
-    with the reason in its place.
+    Quotes are tried as they are, then without numbering, then without tags, then over paragraphs (E06). Quoted table
+    rows change in the cells of the rows they stand for (E07); manual items get a comment over what they quote (E08).
+    What cannot be changed gets a comment with the reason in its place.
     """
     get = lambda k: item.get(k) or ""
     quote, action, why = get("violation_text"), get("fix_action") or "manual", get("violation_reason")
@@ -332,50 +491,48 @@ def apply_item(doc: Document, item: dict) -> Result:
     if not places:
         return done("no_anchor", "start paragraph not found")
     where = doc.paras[places[0]]
+    reasons = {"conflict": "text changed by an earlier edit", "special": "the text holds a drawing", "equation": "an equation or drawing would change", "cross_row": "the edit runs over table rows", "cross_cell": "the edit runs over table cells"}
 
-    def fall_back(status: str, reason: str) -> Result:
+    def fall_back(status: str, reason: str | None = None) -> Result:
+        reason = reason or reasons.get(status, "violation text not found")
         doc.comment_on(where, f"[FALLBACK]{reason}\n{{WHY}}{why} {{WHERE}}{quote} {{SUGGEST}}{revised}", author)
         return done(status, reason)
 
+    rows = got[0] if quote.lstrip().startswith("[") and (got := tb.parse_rows(quote)) and all(isinstance(r, list) for r in got[0]) else None
     if action == "manual":
-        spot = next(_occurrences(doc, places, _TAG.sub("", quote)), None) if quote else None
+        plain = _TAG.sub("", quote)
         text = why + (f"\nSuggestion: {revised}" if revised else "")
-        if spot and doc.edit(spot[0], spot[1], [("equal", _TAG.sub("", quote), None)], author, text) == "success":
+        spot = next(_occurrences(doc, places, plain), None) if quote else None
+        if spot and doc.edit(spot[0], spot[1], [("equal", plain, None)], author, text) == "success":
             return done("commented")
-        return fall_back("not_found" if spot is None else "conflict", "violation text not found" if spot is None else "text changed by an earlier edit")
+        if "\n" in plain and (over := _joined(doc, places, plain)) and doc.edit_range(*over, [("equal", plain, None)], author, text) == "success":
+            return done("commented")
+        if rows and (found := doc.quoted_rows(places, rows)) and (cells := [i for r in found for _, at in r for i in at]):
+            doc.comment_range(cells[0], cells[-1], text, author)
+            return done("commented")
+        return fall_back("not_found" if spot is None else "conflict")
     if not quote:
         return fall_back("not_found", "no text to change")
     if touches_special(quote, revised) and action == "replace":
-        return fall_back("special", "an equation or drawing would change")
-    jobs: list[tuple[list[int], str, str]] = []
-    cells = cell_edits(quote, revised) if action == "replace" and quote.lstrip().startswith("[") else None
-    if cells:
-        jobs = [(places, a, b) for _, _, x, y in cells for a, b in zip(x.split("\n"), y.split("\n")) if a != b] if all(x.count("\n") == y.count("\n") for _, _, x, y in cells) else []
-    elif "\n" in quote and next(_occurrences(doc, places, quote), None) is None:
-        old, new = quote.split("\n"), revised.split("\n") if revised else [""] * (quote.count("\n") + 1)
-        if len(old) == len(new):
-            jobs = [(places, a, b) for a, b in zip(old, new) if a != b and a]
-    else:
-        jobs = [(places, quote, revised)]
-    if not jobs:
-        return fall_back("not_found", "the edit does not fit the paragraphs")
-    status = "success"
-    for span, old, new in jobs:
-        bare = tb.unnumbered_lines(old)
-        tries = dict.fromkeys([(old, new), (bare, tb.unnumbered_lines(new))] if bare != old else [(old, new)])
-        got = "not_found"
-        for a, b in tries:
-            plain = _TAG.sub("", a)
-            for p, at in _occurrences(doc, span, plain) if plain else []:
-                got = doc.edit(p, at, markup_diff(a, b) if b else [("delete", plain, None)], author, why)
-                if got == "success":
-                    break
-            if got == "success":
-                break
-        status = got if got != "success" else status
-    if status != "success":
-        return fall_back(status, {"conflict": "text changed by an earlier edit", "special": "the text holds a drawing"}.get(status, "violation text not found"))
-    return done("success")
+        return fall_back("equation" if "<equation>" in quote + revised else "special", reasons["equation"])
+    if rows:
+        new = None if action == "delete" else p[0] if (p := tb.parse_rows(revised)) else []
+        status = _edit_rows(doc, places, rows, new, author, why)
+        return done(status) if status == "success" else fall_back(status)
+    status = "not_found"
+    bare = tb.unnumbered_lines(quote)
+    for a, b in dict.fromkeys([(quote, revised), (bare, tb.unnumbered_lines(revised))] if bare != quote else [(quote, revised)]):
+        plain = _TAG.sub("", a)
+        ops = markup_diff(a, b) if b else [("delete", plain, None)]
+        for p, at in _occurrences(doc, places, plain) if plain else []:
+            status = doc.edit(p, at, ops, author, why)
+            if status == "success":
+                return done("success")
+        if "\n" in plain and (over := _joined(doc, places, plain)):
+            status = doc.edit_range(*over, ops, author, why)
+            if status == "success":
+                return done("success")
+    return fall_back(status)
 
 
 def apply_items(data: bytes, items: list[dict], author: str = "AI", initials: str | None = None, date: str = "2000-01-01T00:00:00Z") -> tuple[bytes, list[Result]]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellora.functions import tables as tb
 from vellora.functions import text as tx
 from vellora.operators.references import clean_ref
+from vellora.session import checkpointed
 
 BUCKET = 64
 
@@ -73,26 +77,122 @@ def ladder() -> Column:
     return F.coalesce(*[F.when(at(q, t) > 0, F.struct(F.lit(r).alias("rank"), (at(q, t) - 1).alias("offset"))) for r, (q, t) in RUNGS.items()])
 
 
-def locate(items: DataFrame, paragraphs: DataFrame, quote: str = "violation_text") -> DataFrame:
-    """Where each item's quote is (M01, L05): item_id, doc_id, status, rank, pos, offset.
+#: What parts the words of a text.
+_BETWEEN = r"[^\p{L}\p{N}\p{M}]+"
+
+
+def inner_word(q: Column) -> Column:
+    """The longest word of a quote that is whole for sure: neither the first nor the last of its line; null if there is none.
+
+    What stands before and after it in the quote stands there in a text holding the quote, too, so it is a word of that text.
+    """
+    inner = F.flatten(F.transform(F.split(q, r"\n|\\n"), lambda line: _middle(F.split(line, _BETWEEN))))
+    return F.array_max(F.transform(F.filter(inner, lambda x: x != ""), lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
+
+
+def _middle(words: Column) -> Column:
+    return F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(F.array().cast("array<string>"))
+
 
-    Single paragraphs are tried first; items found in none are tried on their range joined by line feeds (rank 5);
-    the rest is not_found, or no_anchor where the start paragraph is missing. The first rank, then the first place wins.
-    Both sides are brought to their forms before they meet, so a pair costs only the search.
+def candidates(forms: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (item_id, doc_id, pos) of quotes and the paragraphs of their range that may hold them; none that does is missing.
+
+    Quotes meet paragraphs by an inner word within the document, so an item whose range is a whole document does not
+    meet all of it; only quotes without such a word go through the range join. ``forms`` has the range and q1 .. q7,
+    ``texts`` doc_id, pos, t1 .. t7.
+    """
+    keyed = forms.withColumn("words", F.array_compact(F.array_distinct(F.array(inner_word(F.coalesce("q4", "q3", "q1")), inner_word(F.col("q7"))))))
+    some = keyed.filter(F.col("q1").isNotNull())
+    by_word = some.filter(F.size("words") > 0).select("item_id", "doc_id", "start_pos", "end_pos", F.explode("words").alias("word"))
+    words = F.array_union(F.split("t1", _BETWEEN), F.split(F.coalesce("t7", "t1"), _BETWEEN))
+    met = by_word.join(texts.select("doc_id", "pos", F.explode(words).alias("word")), ["doc_id", "word"]).filter((F.col("pos") >= F.col("start_pos")) & (F.col("end_pos").isNull() | (F.col("pos") <= F.col("end_pos"))))
+    rest = paragraphs_in_range(some.filter(F.size("words") == 0).select("item_id", "doc_id", "start_pos", "end_pos"), texts.select("doc_id", "pos"))
+    return met.select("item_id", "doc_id", "pos").unionByName(rest.select("item_id", "doc_id", "pos")).distinct()
+
+
+def table_cells(paragraphs: DataFrame) -> DataFrame:
+    """Cells of table paragraphs (W10, F13): doc_id, pos, row, col, cell, at (place of its text within the table's own).
+
+    Places count in the rows as JSON with a blank after each comma, without the outer brackets, as quotes of rows have it.
+    """
+    body = F.regexp_extract("text", r"(?s)^<table>(.*)</table>$", 1)
+    t = paragraphs.filter("is_table").select("doc_id", "pos", F.from_json(body, "array<array<string>>").alias("rows")).filter("rows is not null")
+    length = lambda r: F.length(tx.json_row(r))
+    starts = F.aggregate("rows", F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + length(r) + 2)))
+    rows = t.withColumn("starts", starts).select("doc_id", "pos", "starts", F.posexplode("rows").alias("row", "r")).filter("r is not null").select("doc_id", "pos", "row", "r", F.get("starts", F.col("row")).alias("start"))
+    size = lambda c: F.when(c.isNull(), 4).otherwise(F.length(tx.json_escape(c)) + 2)
+    before = F.aggregate("r", F.array(F.lit(1)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + size(c) + 2)))
+    cells = rows.withColumn("before", before).select("doc_id", "pos", "row", "start", "before", F.posexplode("r").alias("col", "cell"))
+    return cells.select("doc_id", "pos", "row", "col", "cell", (F.col("start") + F.get("before", F.col("col")) + F.when(F.col("cell").isNull(), 0).otherwise(1)).cast("int").alias("at"))
+
+
+def _in_tables(left: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Ranks 6, 8 and 9 of the items in ``left`` (range and q1 ..): item_id, m. Only items and tables of one range meet."""
+    tables = paragraphs.filter("is_table").select("doc_id", "pos", "text")
+    span = ["item_id", "doc_id", "start_pos", "end_pos"]
+    place = lambda quote, text, rank: F.when(F.position(F.col(quote), F.col(text)) > 0, F.struct(F.lit(rank).alias("rank"), F.col("pos"), (F.position(F.col(quote), F.col(text)) - 1).alias("offset")))
+    body = F.regexp_extract("text", r"(?s)^<table>\[(.*)\]</table>$", 1)
+    rows = left.filter(F.col("q1").startswith('["') | F.col("q1").startswith('[["')).select(*span, tb.strip_row_numbers(tx.fix_table_json(F.col("q1")), F.lit(True)).alias("q"))
+    json = paragraphs_in_range(rows, tables.select("doc_id", "pos", tb.strip_row_numbers(body, F.lit(True)).alias("t"))).withColumn("m", place("q", "t", 6))
+    # a quote that reads the same inside JSON would have been found in the table's paragraph
+    odd = left.filter(tx.json_escape(F.col("q1")) != F.col("q1")).select(*span, "q1", "q3", "q4")
+    cells = table_cells(paragraphs).filter("cell is not null").select("doc_id", "pos", "cell")
+    raw = paragraphs_in_range(odd, cells).withColumn("m", F.coalesce(*[place(k, "cell", 8) for k in ("q1", "q3", "q4")]))
+    part = F.array_max(F.transform(F.split("q1", r'</?table>|\n|"\], *\["|", "|^\[+"|"\]+$'), lambda x: F.struct(F.length(tx.trim_u(x)).alias("n"), tx.trim_u(x).alias("x"))))["x"]
+    parts = left.select(*span, "q1", part.alias("q")).filter("q <> '' and q <> q1 and length(q) >= 8").drop("q1")
+    crossed = paragraphs_in_range(parts, cells).withColumn("m", place("q", "cell", 9))
+    text = paragraphs_in_range(parts, paragraphs.filter("not is_table").select("doc_id", "pos", "text")).withColumn("m", place("q", "text", 9))
+    every = [x.filter("m is not null").select("item_id", "m") for x in (json, raw, crossed, text)]
+    return reduce(DataFrame.unionByName, every).groupBy("item_id").agg(F.min("m").alias("m"))
+
+
+def locate(items: DataFrame, paragraphs: DataFrame, quote: str = "violation_text") -> DataFrame:
+    """Where each item's quote is (M01-M03, L05): item_id, doc_id, status, rank, pos, offset.
+
+    First single paragraphs (ladder()), then, for what is in none, rank 5 the range joined by line feeds, 6 table rows
+    without row numbers on either side, 8 single cells as they read, 9 the longest part of a quote that runs over the
+    borders of cells, rows or table and text. A quote with a table tag is looked for by its longest text outside of
+    tables (rank 0), and its item falls back to a comment if it is to be replaced or deleted. The rest is not_found, or
+    no_anchor where the start paragraph is missing. The first rank, then the first place wins. Both sides are brought to
+    their forms before they meet, and meet only where they share a word. Items without ``fix_action`` are manual.
     """
-    i = items.select("item_id", "doc_id", "uuid", "uuid_end", F.col(quote).alias("q")).dropDuplicates(["item_id"])
+    action = F.coalesce("fix_action", F.lit("manual")) if "fix_action" in items.columns else F.lit("manual")
+    i = items.select("item_id", "doc_id", "uuid", "uuid_end", F.col(quote).alias("own"), action.alias("action")).dropDuplicates(["item_id"])
+    tagged = F.coalesce(F.contains("own", F.lit("<table>")), F.lit(False))
+    i = i.withColumn("tagged", tagged).withColumn("q", F.when(tagged, tx.longest_segment(F.col("own"))).otherwise(F.col("own")))
     r = ranges(i, paragraphs)
-    forms = r.join(i.select("item_id", *quote_forms(F.col("q"))), "item_id")
-    pairs = paragraphs_in_range(forms, paragraphs.select("doc_id", "pos", *text_forms(F.col("text"))))
+    forms = checkpointed(r.join(i.select("item_id", *quote_forms(F.col("q"))), "item_id"))
+    texts = paragraphs.select("doc_id", "pos", *text_forms(F.col("text")))
+    pairs = candidates(forms, texts).join(texts, ["doc_id", "pos"]).join(forms.select("item_id", "q1", "q2", "q3", "q4", "q7"), "item_id")
     best = pairs.withColumn("hit", ladder()).filter("hit is not null").groupBy("item_id").agg(F.min(F.struct(F.col("hit.rank"), "pos", F.col("hit.offset"))).alias("m"))
-    left = forms.filter(F.contains(F.col("q1"), F.lit("\n"))).join(best, "item_id", "left_anti").select(*r.columns, "q1")
-    wide = paragraphs_in_range(left, paragraphs.select("doc_id", "pos", "text"))
-    joined = wide.groupBy("item_id", "q1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("t"), F.min("pos").alias("pos"))
-    cross = joined.filter(F.position(F.col("q1"), F.col("t")) > 0).select("item_id", F.struct(F.lit(5).alias("rank"), "pos", (F.position(F.col("q1"), F.col("t")) - 1).alias("offset")).alias("m"))
-    found = best.unionByName(cross)
-    out = i.select("item_id", "doc_id").join(r.select("item_id", F.lit(True).alias("anchored")), "item_id", "left").join(found, "item_id", "left")
-    status = F.when(F.col("m").isNotNull(), "found").when(F.col("anchored"), "not_found").otherwise("no_anchor")
-    return out.select("item_id", "doc_id", status.alias("status"), "m.rank", "m.pos", "m.offset")
+    best = checkpointed(best)
+    left = checkpointed(forms.filter("q1 is not null").join(best, "item_id", "left_anti"))
+    # quotes of one line without anything of a table have no further place: the searches for others are planned only where there are others
+    lines, marks = F.contains(F.col("q1"), F.lit("\n")), F.col("q1").rlike(r'["\\\t\n]|</?table>')
+    there = left.agg(F.bool_or(lines).alias("lines"), F.bool_or(marks).alias("marks")).first()
+    found = best
+    if there.lines:
+        wide = paragraphs_in_range(left.filter(lines).select("item_id", "doc_id", "start_pos", "end_pos", "q1"), paragraphs.select("doc_id", "pos", "text"))
+        joined = wide.groupBy("item_id", "q1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("t"), F.min("pos").alias("pos"))
+        found = found.unionByName(joined.filter(F.position(F.col("q1"), F.col("t")) > 0).select("item_id", F.struct(F.lit(5).alias("rank"), "pos", (F.position(F.col("q1"), F.col("t")) - 1).alias("offset")).alias("m")))
+    if there.marks:
+        found = found.unionByName(_in_tables(left.filter(marks), paragraphs)).groupBy("item_id").agg(F.min("m").alias("m"))
+    out = i.select("item_id", "doc_id", "tagged", "action").join(forms.select("item_id", F.lit(True).alias("anchored")), "item_id", "left").join(found, "item_id", "left")
+    status = F.when(F.col("anchored").isNull(), "no_anchor").when(F.col("tagged") & (F.col("action") != "manual"), "fallback").when(F.col("m").isNotNull(), "found").otherwise("not_found")
+    return out.select("item_id", "doc_id", status.alias("status"), F.when(F.col("m").isNotNull() & F.col("tagged"), 0).otherwise(F.col("m.rank")).alias("rank"), "m.pos", "m.offset")
+
+
+def original_offset(text: Column, at: Column) -> Column:
+    """Place in a text of a place in the same text without trailing blanks of its lines (M02): the way back from rank 2."""
+    blanks = F.transform(F.split(text, "\n"), lambda x: F.struct(F.length(F.regexp_replace(x, r"(?U)\s+\z", "")).alias("kept"), F.length(x).alias("all")))
+    start = F.struct(F.lit(0).alias("kept"), F.lit(0).alias("all"), F.lit(None).cast("int").alias("hit"))
+
+    def step(acc: Column, line: Column) -> Column:
+        inside = acc["hit"].isNull() & (at <= acc["kept"] + line["kept"])
+        hit = F.when(acc["hit"].isNotNull(), acc["hit"]).when(inside, (acc["all"] + at - acc["kept"]).cast("int"))
+        return F.struct((acc["kept"] + line["kept"] + 1).alias("kept"), (acc["all"] + line["all"] + 1).alias("all"), hit.alias("hit"))
+
+    return F.aggregate(blanks, start, step, lambda acc: acc["hit"])
 
 
 def overlapping(runs: DataFrame, matches: DataFrame) -> DataFrame:

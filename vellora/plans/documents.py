@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellora.operators import edits as ed
@@ -127,6 +127,56 @@ def docx_changed(spark: SparkSession, d: str) -> DataFrame:
     return ed.verify_hashes(docs.withColumnRenamed("path", "doc_id"), meta)
 
 
+_CELLS = "x AS (SELECT doc, n, para_id, para_id_end, from_json(text[8:-9], '[[\"VARCHAR\"]]') AS r, text FROM o WHERE is_table AND NOT contains(text, '\\'))"
+
+
+def _tables(spark: SparkSession, d: str) -> DataFrame:
+    t = st.current_paragraphs(table(spark, d, "paragraphs")).filter(r"is_table and not contains(text, '\\')")
+    return t.withColumn("r", F.from_json(F.regexp_extract("text", "(?s)^<table>(.*)</table>$", 1), "array<array<string>>")).filter("size(r) > 1 and size(r[1]) > 1")
+
+
+@Q.add(
+    sql=f"""WITH {_D}, {_CELLS}
+SELECT doc AS doc_id, n AS pos, '["' || array_to_string(r[2][:-2], '", "') || '", "' || CASE WHEN r[2][-1] = '' THEN '' ELSE 'changed ' || n END || '"]' AS second, '["' || array_to_string(r[1], '", "') || '"]' AS first, CAST(len(r) AS INTEGER) AS n_rows FROM x WHERE len(r) > 1 AND len(r[2]) > 1"""
+)
+def edit_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The last cell of the second row of every table changed by an item that quotes the row; an empty one belongs to the cell it is merged with and stays."""
+    from vellora.functions import text as tx
+
+    p = st.current_paragraphs(table(spark, d, "paragraphs"))
+    place = p.withColumn("doc", F.concat_ws("-", "doc_id", F.floor(F.col("pos") / dw.SECTION))).groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("order"))
+    t = _tables(spark, d).withColumn("doc", F.concat_ws("-", "doc_id", F.floor(F.col("pos") / dw.SECTION))).join(place, "doc").withColumn("n", F.array_position("order", F.col("pos")) - 1)
+    new = F.concat(F.slice(F.col("r")[1], F.lit(1), F.size(F.col("r")[1]) - 1), F.array(F.concat(F.lit("changed "), F.col("n").cast("string"))))
+    items = t.select(
+        F.concat("doc", F.lit(".docx")).alias("doc_id"), F.lpad(F.col("pos").cast("string"), 9, "0").alias("item_id"), F.col("para_id").alias("uuid"), F.col("para_id_end").alias("uuid_end"), tx.json_row(F.col("r")[1]).alias("violation_text"),
+        F.lit("because").alias("violation_reason"), F.lit("replace").alias("fix_action"), tx.json_row(new).alias("revised_text"), F.lit("number").alias("category"),
+    )
+    done, _ = ed.apply_edits(_packages(spark, d).select(F.col("path").alias("doc_id"), "content"), items)
+    back = dx.read_binary(done.select(F.col("doc_id").alias("path"), "content")).filter(r"is_table and not contains(text, '\\')")
+    r = back.withColumn("r", F.from_json(F.regexp_extract("text", "(?s)^<table>(.*)</table>$", 1), "array<array<string>>")).filter("size(r) > 1 and size(r[1]) > 1")
+    return r.select("doc_id", "pos", tx.json_row(F.col("r")[1]).alias("second"), tx.json_row(F.col("r")[0]).alias("first"), F.size("r").alias("n_rows"))
+
+
+_NEXT = f"{_D}, w AS (SELECT *, lead(text) OVER (PARTITION BY doc ORDER BY pos) AS after, lead(is_table) OVER (PARTITION BY doc ORDER BY pos) AS after_table, lead(para_id) OVER (PARTITION BY doc ORDER BY pos) AS after_id FROM o), j AS (SELECT *, n % 9 = 0 AND NOT is_table AND after IS NOT NULL AND NOT after_table AND length(text) > 30 AND length(after) > 30 AS hit FROM w)"
+
+
+@Q.add(
+    sql=f"""WITH {_NEXT}, k AS (SELECT *, coalesce(lag(hit) OVER (PARTITION BY doc ORDER BY pos), false) AS behind FROM j)
+SELECT doc AS doc_id, para_id, {strip_sql('CASE WHEN hit AND behind THEN substr(text, 13, length(text) - 24) WHEN hit THEN substr(text, 1, length(text) - 12) WHEN behind THEN substr(text, 13) ELSE text END')} AS text FROM k WHERE NOT is_table"""
+)
+def edit_across(spark: SparkSession, d: str) -> DataFrame:
+    """The end of a paragraph and the beginning of the next deleted by one item, for every ninth place."""
+    p = st.current_paragraphs(table(spark, d, "paragraphs")).withColumn("doc", F.concat_ws("-", "doc_id", F.floor(F.col("pos") / dw.SECTION)))
+    w = Window.partitionBy("doc").orderBy("pos")  # a section, not a document
+    j = p.withColumns({"n": F.row_number().over(w) - 1, "after": F.lead("text").over(w), "after_table": F.lead("is_table").over(w), "after_id": F.lead("para_id").over(w)})
+    items = j.filter("n % 9 = 0 and not is_table and after is not null and not after_table and length(text) > 30 and length(after) > 30").select(
+        F.concat("doc", F.lit(".docx")).alias("doc_id"), F.lpad(F.col("pos").cast("string"), 9, "0").alias("item_id"), F.col("para_id").alias("uuid"), F.col("after_id").alias("uuid_end"),
+        F.concat(F.expr("right(text, 12)"), F.lit("\n"), F.substring("after", 1, 12)).alias("violation_text"), F.lit("because").alias("violation_reason"), F.lit("delete").alias("fix_action"), F.lit(None).cast("string").alias("revised_text"), F.lit("style").alias("category"),
+    )
+    done, _ = ed.apply_edits(_packages(spark, d).select(F.col("path").alias("doc_id"), "content"), items)
+    return dx.read_binary(done.select(F.col("doc_id").alias("path"), "content")).filter("not is_table").select("doc_id", "para_id", "text")
+
+
 _PLAIN = "regexp_replace(coalesce({}, ''), '(?i)</?(?:sup|sub)>', '', 'g')"
 
 

