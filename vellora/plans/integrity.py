@@ -82,7 +82,31 @@ def _headings(spark: SparkSession, d: str) -> DataFrame:
 _KEYS = ["parent_key", "entry_no", "child_no"]
 
 
-@Q.add()
+_FIELDS = ("rule_id", "uuid", "uuid_end", "violation_text", "violation_reason", "fix_action", "revised_text", "category")
+_LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN from_json({0}, '[\"JSON\"]') WHEN 'OBJECT' THEN [{0}] ELSE [] END"
+_SINGLE = " OR ".join(f"list_contains(json_keys(a), '{f}')" for f in _FIELDS)
+# the same shapes by the JSON functions of the SQL engine
+_RAW_SQL = f"""j AS (SELECT DISTINCT line_id, raw::JSON AS j FROM manifest_raw WHERE json_valid(raw)),
+e AS (SELECT line_id, CASE WHEN json_type(j) = 'ARRAY' THEN {_LIST.format('j')} WHEN json_type(j) <> 'OBJECT' THEN [] WHEN json_exists(j, '$.entries') THEN {_LIST.format("json_extract(j, '$.entries')")}
+  WHEN json_exists(j, '$.entry') THEN [json_extract(j, '$.entry')] WHEN coalesce(j ->> '$.type', '') <> 'meta' THEN [j] ELSE [] END AS es FROM j),
+n AS (SELECT line_id, CAST(unnest(range(len(es))) AS INTEGER) AS entry_no, unnest(es) AS e FROM e),
+a0 AS (SELECT line_id, entry_no, json_extract(e, '$.violations') AS b FROM n WHERE json_type(e) = 'OBJECT'),
+a AS (SELECT line_id, entry_no, CASE WHEN json_type(b) = 'VARCHAR' AND json_valid(b ->> '$') THEN (b ->> '$')::JSON ELSE b END AS a FROM a0),
+w AS (SELECT line_id, entry_no, CASE WHEN json_type(a) = 'ARRAY' THEN list_transform({_LIST.format('a')}, lambda x: {{'rule': NULL::VARCHAR, 'x': x}})
+  WHEN json_type(a) <> 'OBJECT' THEN [] WHEN json_exists(a, '$.items') THEN list_transform({_LIST.format("json_extract(a, '$.items')")}, lambda x: {{'rule': NULL::VARCHAR, 'x': x}})
+  WHEN {_SINGLE} THEN [{{'rule': NULL::VARCHAR, 'x': a}}]
+  ELSE flatten(list_transform(json_keys(a), lambda k: list_transform({_LIST.format("json_extract(a, '$.' || chr(34) || k || chr(34))")}, lambda x: {{'rule': k, 'x': x}}))) END AS vs FROM a WHERE a IS NOT NULL),
+c AS (SELECT line_id, entry_no, CAST(unnest(range(len(vs))) AS INTEGER) AS child_no, unnest(vs) AS v FROM w),
+raw_ AS (SELECT CAST(line_id AS VARCHAR) AS parent_key, entry_no, child_no, coalesce(v.x ->> '$.rule_id', CASE WHEN v.rule <> 'unknown' THEN v.rule END) AS rule_id, {", ".join(f"v.x ->> '$.{f}' AS {f}" for f in _FIELDS[1:])} FROM c WHERE json_type(v.x) = 'OBJECT')"""
+_MANIFEST_SQL = "SELECT DISTINCT CAST(entry_id AS VARCHAR) AS parent_key, CAST(unnest(range(len(violations))) AS INTEGER) AS child_no, unnest(violations) AS v FROM manifest"
+_HEADING_SQL = "SELECT DISTINCT doc_id || '#' || CAST(block_idx AS VARCHAR) AS parent_key, CAST(unnest(range(len(parent_headings))) AS INTEGER) AS child_no, unnest(parent_headings) AS heading FROM blocks"
+
+
+@Q.add(
+    sql=f"""WITH {_RAW_SQL} SELECT DISTINCT 'manifest_raw' AS src, parent_key, entry_no, child_no FROM raw_
+UNION ALL SELECT 'manifest', parent_key, 0, child_no FROM ({_MANIFEST_SQL}) WHERE v IS NOT NULL
+UNION ALL SELECT DISTINCT 'blocks', parent_key, 0, child_no FROM ({_HEADING_SQL}) WHERE trim(heading, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)) <> ''"""
+)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every violation and parent heading with its parent and place."""
     parts = [f(spark, d).select(F.lit(src).alias("src"), *_KEYS) for src, f in (("manifest", _manifest), ("manifest_raw", _raw), ("blocks", _headings))]
@@ -99,7 +123,7 @@ def p2_manifest_violations(spark: SparkSession, d: str) -> DataFrame:
     return _manifest(spark, d).select("parent_key", "child_no", "rule_id", "uuid", "uuid_end", "violation_text", "fix_action").distinct()
 
 
-@Q.add()
+@Q.add(sql=f"WITH {_RAW_SQL} SELECT * FROM raw_")
 def p2_raw_violations(spark: SparkSession, d: str) -> DataFrame:
     """The violations of the raw lines as a flat table."""
     return _raw(spark, d).dropDuplicates(_KEYS)
