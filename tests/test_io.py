@@ -36,6 +36,8 @@ def test_blocks_rules_items(spark, tmp_path):
         meta, blocks = jl.read_blocks(spark, lines(tmp_path / name, rows))
         assert [(r.uuid, r.parent_headings) for r in blocks.collect()] == [("A", ["x"])]
         assert [r.source_hash for r in meta.collect()] == ([] if name == "l.json" else ["s"])
+    with pytest.warns(UserWarning, match="no base rules"):
+        assert jl.read_base_rules(spark, str(tmp_path / "none.json")).count() == 0
     r = jl.read_rules(spark, lines(tmp_path / "r.json", [{"type": "global", "rules": [{"id": "R1"}, {"id": "R2", "type": "block_level"}]}]))
     assert {x.id: x.type for x in r.collect()} == {"R1": "global", "R2": "block"}
     assert [x.type for x in jl.read_rules(spark, lines(tmp_path / "q.json", [[{"id": "R1"}]])).collect()] == ["block"]

@@ -156,7 +156,7 @@ class Document:
         self.old_comments = parse_xml(old) if old else None
         ids = lambda els: [int(v) for e in els if (v := e.get(W + "id", "")).isdigit()]
         self.next_comment = max(ids(self.old_comments.iter(W + "comment")) if self.old_comments is not None else [], default=-1) + 1
-        self.next_change = max(ids(e for e in self.root.iter() if e.tag in (W + "ins", W + "del")), default=-1) + 1
+        self.next_change = max(ids(e for e in self.root.iter() if e.get(W + "author") is not None), default=-1) + 1
 
     def within(self, uuid: str, uuid_end: str) -> list[int]:
         """Places of the paragraphs from the start id to the end id (J09); none without a start."""

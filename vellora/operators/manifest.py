@@ -97,11 +97,12 @@ def compact(manifest: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def run_stats(manifest: DataFrame) -> DataFrame:
-    """Entries, entries with findings, findings, and flags that disagree with the findings."""
+    """Entries, entries with findings, findings, flags that disagree with the findings, and failed entries."""
+    error = F.col("error") if "error" in manifest.columns else F.lit(None).cast("string")
     n = F.coalesce(F.size(F.filter("violations", lambda v: v.isNotNull())), F.lit(0))
-    return entries(manifest).select(n.alias("n"), "is_violation").agg(
+    return entries(manifest).select(n.alias("n"), "is_violation", error.alias("error")).agg(
         F.count("*").alias("processed"), F.count_if(F.col("n") > 0).alias("with_violations"), F.coalesce(F.sum("n"), F.lit(0)).alias("violations"),
-        F.count_if(F.coalesce(F.col("is_violation"), F.lit(False)) != (F.col("n") > 0)).alias("wrong_flags"),
+        F.count_if(F.coalesce(F.col("is_violation"), F.lit(False)) != (F.col("n") > 0)).alias("wrong_flags"), F.count("error").alias("failed"),
     )
 
 

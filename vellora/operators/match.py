@@ -195,6 +195,12 @@ def original_offset(text: Column, at: Column) -> Column:
     return F.aggregate(blanks, start, step, lambda acc: acc["hit"])
 
 
+def real_runs(runs: DataFrame, flags: tuple[str, ...] = ("is_drawing", "is_equation")) -> DataFrame:
+    """Runs of the document's own text (F06): those that only stand for a drawing or an equation are left out."""
+    made_up = reduce(lambda a, b: a | b, [F.coalesce(F.col(f), F.lit(False)) for f in flags])
+    return runs.filter(~made_up)
+
+
 def overlapping(runs: DataFrame, matches: DataFrame) -> DataFrame:
     """Runs that a match touches (J11): runs (doc_id, para, run_no, start_off, end_off), matches (doc_id, para, m_start, m_end)."""
     return matches.join(runs, ["doc_id", "para"]).filter("end_off > m_start and start_off < m_end").withColumns(

@@ -214,6 +214,13 @@ def match_revised(spark: SparkSession, d: str) -> DataFrame:
     return mt.revised_overlap(runs.drop("cell"), matches).select("doc_id", "para")
 
 
+@Q.add(sql=f"WITH {_RUNS} SELECT doc_id, para, run_no FROM r WHERE run_no % 4 <> 0 AND run_no % 5 <> 1")
+def match_real_runs(spark: SparkSession, d: str) -> DataFrame:
+    """runs without those that stand for a drawing or an equation."""
+    runs = _runs(spark, d)[0].withColumns({"is_drawing": F.col("run_no") % 4 == 0, "is_equation": F.when(F.col("run_no") % 5 == 1, True)})
+    return mt.real_runs(runs).select("doc_id", "para", "run_no")
+
+
 @Q.add(sql=f"WITH {_RUNS} SELECT doc_id, para, 0 AS cell, min(start_off) AS start_off, max(end_off) AS end_off, count(*) AS n_runs FROM r GROUP BY doc_id, para")
 def match_segments(spark: SparkSession, d: str) -> DataFrame:
     """A10: extent and number of runs of each paragraph."""

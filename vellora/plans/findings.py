@@ -14,6 +14,7 @@ from vellora.operators import rules as rl
 from vellora.plans.registry import Registry
 from vellora.plans.texts import est_sql
 from vellora.session import table
+from vellora.sources import jsonl as jl
 
 Q = Registry()
 
@@ -142,11 +143,65 @@ def manifest_compact(spark: SparkSession, d: str) -> DataFrame:
 
 @Q.add(
     sql=f"""WITH {_M}, n AS (SELECT is_violation, coalesce(len(list_filter(violations, lambda v: v IS NOT NULL)), 0) AS n FROM m)
-SELECT count(*) AS processed, count(*) FILTER (WHERE n > 0) AS with_violations, CAST(sum(n) AS BIGINT) AS violations, count(*) FILTER (WHERE coalesce(is_violation, false) <> (n > 0)) AS wrong_flags FROM n"""
+SELECT count(*) AS processed, count(*) FILTER (WHERE n > 0) AS with_violations, CAST(sum(n) AS BIGINT) AS violations, count(*) FILTER (WHERE coalesce(is_violation, false) <> (n > 0)) AS wrong_flags, (SELECT count(*) FILTER (WHERE entry_id % 11 = 0) FROM m) AS failed FROM n"""
 )
 def manifest_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of a run."""
-    return mf.run_stats(table(spark, d, "manifest"))
+    """Counts of a run, every eleventh entry marked as failed."""
+    return mf.run_stats(table(spark, d, "manifest").withColumn("error", F.when(F.col("entry_id") % 11 == 0, "down")))
+
+
+@Q.add(
+    sql="""WITH m AS (SELECT DISTINCT * FROM manifest WHERE uuid_end IS NOT NULL), x AS (SELECT entry_id, uuid, uuid_end, p_heading, unnest(CASE WHEN violations IS NULL THEN [NULL] ELSE violations END) AS v FROM m)
+SELECT p_heading AS heading, coalesce(nullif(v.uuid, ''), uuid) AS uuid, coalesce(nullif(v.uuid_end, ''), uuid_end) AS uuid_end, v.rule_id AS rule_id, v.violation_text AS violation_text, v.fix_action AS fix_action, v.revised_text AS revised_text, v.category AS category FROM x"""
+)
+def json_edit_items(spark: SparkSession, d: str) -> DataFrame:
+    """Edit items of nested lines written from the manifest; the finding's own ids win."""
+    m = table(spark, d, "manifest").filter("uuid_end is not null").dropDuplicates(["entry_id"])
+    raw = m.select(F.to_json(F.struct("uuid", "uuid_end", "p_heading", "violations")).alias("value")).unionByName(spark.createDataFrame([('{"type": "meta"}',), ("",)], "value string"))
+    return jl.edit_items_of(raw).select("heading", "uuid", "uuid_end", "rule_id", "violation_text", "fix_action", "revised_text", "category")
+
+
+@Q.add(sql="SELECT line_id % 3 AS part, raw ->> '$.uuid' AS uuid, raw ->> '$.p_heading' AS p_heading FROM (SELECT DISTINCT line_id, raw FROM manifest_raw WHERE json_valid(raw)) WHERE json_type(raw) = 'OBJECT'")
+def json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as delivered, bad and blank ones left out."""
+    raw = table(spark, d, "manifest_raw").dropDuplicates(["line_id"])
+    parts = [jl.parsed_lines(raw.filter(F.col("line_id") % 3 == k).select(F.col("raw").alias("value")), "uuid string, p_heading string").withColumn("part", F.lit(k).cast("long")) for k in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@Q.add(sql="SELECT uuid, uuid_end, heading, content, level, coalesce(array_to_string(parent_headings, '|'), '') AS parents, 'sha256:x' AS source_hash FROM (SELECT doc_id, block_idx, any_value(uuid) AS uuid, any_value(uuid_end) AS uuid_end, any_value(heading) AS heading, any_value(content) AS content, any_value(level) AS level, any_value(parent_headings) AS parent_headings FROM blocks GROUP BY doc_id, block_idx)")
+def json_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of lines with a meta line before them."""
+    b = table(spark, d, "blocks").dropDuplicates(["doc_id", "block_idx"])
+    raw = b.select(F.to_json(F.struct("uuid", "uuid_end", "heading", "content", "type", "level", "parent_headings")).alias("value")).unionByName(spark.createDataFrame([('{"type": "meta", "source_hash": "sha256:x"}',)], "value string"))
+    meta, blocks = jl.blocks_of(raw)
+    hash_ = jl.manifest_meta(meta, "source_hash").first().source_hash
+    return blocks.select("uuid", "uuid_end", "heading", "content", "level", F.coalesce(F.array_join("parent_headings", "|"), F.lit("")).alias("parents"), F.lit(hash_).alias("source_hash"))
+
+
+@Q.add(sql=f"WITH {_R} SELECT id, description FROM r")
+def rules_strict(spark: SparkSession, d: str) -> DataFrame:
+    """Rule files with ids of their own, put together."""
+    r = _rules(spark, d)
+    return rl.union_strict([r.filter("id <= 'R009'"), r.filter("id > 'R009'"), r.limit(1).withColumn("id", F.lit(None).cast("string"))]).select("id", "description")
+
+
+@Q.add(
+    sql="""WITH b AS (SELECT doc_id, block_idx, any_value(uuid) AS uuid, any_value(content) AS content FROM blocks GROUP BY doc_id, block_idx), x AS (SELECT *, regexp_extract_all(coalesce(content, ''), '[0-9]{4}') AS f FROM b)
+SELECT doc_id, block_idx, CASE WHEN block_idx % 13 = 12 THEN NULL ELSE len(f) > 0 END AS is_violation, block_idx % 13 = 12 AS failed, CASE WHEN block_idx % 13 = 12 THEN '' ELSE array_to_string(f, ',') END AS found FROM x"""
+)
+def audit_model(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks through a pluggable auditor, which fails for some; the flag follows from the findings."""
+    import re
+
+    def auditor(block: dict) -> list[dict]:
+        if block["heading"] is not None and block["heading"].startswith("\x00"):
+            raise au.NonRetryable("refused")
+        return [{"rule_id": "D1", "violation_text": x} for x in re.findall("[0-9]{4}", block["content"] or "")]
+
+    b = table(spark, d, "blocks").dropDuplicates(["doc_id", "block_idx"]).withColumn("heading", F.when(F.col("block_idx") % 13 == 12, F.lit("\x00")).otherwise(F.col("heading")))
+    out = au.audit_by_model(b, auditor, workers=spark.sparkContext.defaultParallelism, delay=0, tries=0)
+    return out.select("doc_id", "block_idx", "is_violation", F.col("error").isNotNull().alias("failed"), F.array_join(F.transform("violations", lambda v: v["violation_text"]), ",").alias("found"))
 
 
 @Q.add(

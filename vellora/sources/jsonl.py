@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 import os
+import warnings
 import zipfile
 from collections.abc import Iterable
 from typing import BinaryIO
@@ -31,11 +32,17 @@ def read_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
     A path that is not there gives no rows unless ``strict``.
     """
     try:
-        raw = spark.read.text(path).filter(~is_blank(F.col("value")))
+        raw = spark.read.text(path)
     except Exception as e:  # noqa: BLE001
         if strict or "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
+    return parsed_lines(raw, schema, strict)
+
+
+def parsed_lines(raw: DataFrame, schema: str, strict: bool = False) -> DataFrame:
+    """Rows of lines of JSON in a column ``value``, as read_lines gives them."""
+    raw = raw.filter(~is_blank(F.col("value")))
     options = {"mode": "FAILFAST"} if strict else {"columnNameOfCorruptRecord": "_bad"}
     parsed = raw.select(F.from_json("value", schema if strict else f"{schema}, _bad string", options).alias("r")).select("r.*")
     return parsed if strict else parsed.filter("_bad is null").drop("_bad")
@@ -44,7 +51,7 @@ def read_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
 def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Meta rows and blocks (S10, F05) of JSON Lines, or of one JSON file holding a list or {blocks, meta}."""
     if not path.endswith(".json"):
-        return read_lines(spark, path, META, True).filter("type = 'meta'"), read_lines(spark, path, BLOCK, True).filter("type is null or type <> 'meta'").drop("type")
+        return blocks_of(spark.read.text(path))
     text = spark.read.text(path, wholetext=True)
     boxed = text.select(F.when(F.ltrim("value").startswith("["), F.concat(F.lit('{"blocks":'), "value", F.lit("}"))).otherwise(F.col("value")).alias("v"))
     box = boxed.select(F.from_json("v", f"struct<blocks:array<struct<{_nested(BLOCK)}>>,meta:struct<{_nested(META)}>>", {"mode": "FAILFAST"}).alias("b"))
@@ -52,6 +59,11 @@ def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return box.select("b.meta.*").filter("source_file is not null or source_hash is not null"), blocks
 
 
+def blocks_of(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Meta rows and blocks of lines of JSON in a column ``value``."""
+    return parsed_lines(raw, META, True).filter("type = 'meta'"), parsed_lines(raw, BLOCK, True).filter("type is null or type <> 'meta'").drop("type")
+
+
 def _nested(schema: str) -> str:
     """A table schema as the inside of a struct type."""
     return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in T._parse_datatype_string(schema).fields)
@@ -65,6 +77,17 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return r.withColumn("type", rule_type(F.col("type"), F.col("file_type"))).drop("file_type")
 
 
+def read_base_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules to build on (S13): none, with a warning, where the file is not there."""
+    try:
+        return read_rules(spark, path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        warnings.warn(f"no base rules at {path}", stacklevel=2)
+        return spark.createDataFrame([], RULE)
+
+
 def resolve_rule_path(name: str, *folders: str) -> str:
     """A path as it is; a bare name in the working folder, then in ``folders``."""
     for at in [name] if os.path.dirname(name) else [name, *(os.path.join(f, name) for f in folders)]:
@@ -78,8 +101,13 @@ def read_edit_items(spark: SparkSession, path: str) -> DataFrame:
 
     A line without uuid_end is an error.
     """
+    return edit_items_of(spark.read.text(path))
+
+
+def edit_items_of(raw: DataFrame) -> DataFrame:
+    """Edit items of lines of JSON in a column ``value``."""
     flat = "type string, uuid string, uuid_end string, " + ", ".join(f"{f} string" for f in VIOLATION_FIELDS if f not in ("uuid", "uuid_end")) + f", heading string, p_heading string, violations {_VIOLATIONS}"
-    rows = read_lines(spark, path, flat, True).filter("type is null or type <> 'meta'")
+    rows = parsed_lines(raw, flat, True).filter("type is null or type <> 'meta'")
     one = F.struct(*[F.col(f) for f in VIOLATION_FIELDS])
     got = rows.select(F.col("uuid").alias("u"), F.col("uuid_end").alias("e"), F.coalesce("heading", "p_heading").alias("heading"), F.explode(F.when(F.col("violations").isNotNull(), F.col("violations")).otherwise(F.array(one))).alias("v"))
     end = F.coalesce(F.nullif("v.uuid_end", F.lit("")), "e")
