@@ -682,7 +682,7 @@ def text_statistics(df: DataFrame, key: str, text: str, chunk: int = CHUNK, stre
         return pa.RecordBatch.from_arrays([keys] + [pa.array(c, kinds[type(f.dataType)], from_pandas=True) for c, f in zip(got, stats.fields)], names=schema.names)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             yield rows(b.column(0), outcomes(*tallies(b.column(1).to_pylist(), chunk)))
 
     one = src.filter(F.length("__t") <= stretch).mapInArrow(near, schema)
