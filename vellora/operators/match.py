@@ -163,7 +163,9 @@ def locate(items: DataFrame, paragraphs: DataFrame, quote: str = "violation_text
     r = ranges(i, paragraphs)
     forms = checkpointed(r.join(i.select("item_id", *quote_forms(F.col("q"))), "item_id"))
     texts = paragraphs.select("doc_id", "pos", *text_forms(F.col("text")))
-    pairs = candidates(forms, texts).join(texts, ["doc_id", "pos"]).join(forms.select("item_id", "q1", "q2", "q3", "q4", "q7"), "item_id")
+    # pairs are small and their texts are not: as many tasks as the session has partitions, however few bytes there are
+    parts = int(paragraphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = candidates(forms, texts).repartition(parts, "doc_id", "pos").join(texts, ["doc_id", "pos"]).join(forms.select("item_id", "q1", "q2", "q3", "q4", "q7"), "item_id")
     best = pairs.withColumn("hit", ladder()).filter("hit is not null").groupBy("item_id").agg(F.min(F.struct(F.col("hit.rank"), "pos", F.col("hit.offset"))).alias("m"))
     best = checkpointed(best)
     left = checkpointed(forms.filter("q1 is not null").join(best, "item_id", "left_anti"))
