@@ -170,6 +170,32 @@ def test_no_pair_is_missed_by_words(spark):
     assert hits(mt.candidates(forms, t)) == hits(every)
 
 
+def test_location_moves_each_text_once(spark, monkeypatch):
+    def moved():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        seen = sc.statusStore().executorList(False)
+        return sum(seen.apply(k).totalShuffleWrite() for k in range(seen.size()))
+
+    rng = random.Random(5)
+    words = [f"common{k}" for k in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) + f" end{i}" for i in range(600)]
+    P = "doc_id string, pos long, text string, para_id string, para_id_end string, is_table boolean, level int"
+    paras = spark.createDataFrame([("d", i, t, f"P{i}", None, False, None) for i, t in enumerate(texts)] + [("d", 5, texts[5], "P5", None, False, None)], P)
+    at = {i: (rng.randrange(600), rng.choice([0, 3, 40, None])) for i in range(600)}
+    quotes = {i: rng.choice([texts[rng.randrange(600)][100:160], texts[s][40:90], words[3] + " none " + words[4], "d50", "zz"]) for i, (s, _) in at.items()}
+    items = spark.createDataFrame([(i, "d", f"P{s}", "gone" if n is None else f"P{min(s + n, 599)}", quotes[i]) for i, (s, n) in at.items()], "item_id int, doc_id string, uuid string, uuid_end string, violation_text string")
+    want = {i: next((k for k in range(s, 600 if n is None else min(s + n, 599) + 1) if quotes[i] in texts[k]), None) for i, (s, n) in at.items()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    for near, bucket, most in ((128, 32, 10**9), (8, 4, 30_000)):  # all that is beyond in one part, and in several
+        for k, v in {"NEAR": near, "NEAR_BUCKET": bucket, "BROADCAST": most}.items():
+            monkeypatch.setattr(mt, k, v, raising=False)
+        before = moved()
+        assert {r.item_id: r.pos for r in mt.locate(items, paras).collect()} == want
+        assert moved() - before < 4 * sum(map(len, texts))  # pairs of quotes and texts that share a word are far more
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_way_back_from_trimmed_lines(spark):
     t = "ab  \ncd\t \n\nef"
     plain = "ab\ncd\n\nef"

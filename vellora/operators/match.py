@@ -13,10 +13,12 @@ from vellora.operators.references import clean_ref
 from vellora.session import checkpointed
 
 BUCKET = 64
+#: Places after an item's start that are searched at once; buckets of places for that; bytes of quotes broadcast for what lies beyond.
+NEAR, NEAR_BUCKET, BROADCAST = 128, 32, 32_000_000
 
 
 def ranges(items: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Items with start_pos and end_pos (J09): item_id, doc_id, start_pos, end_pos, in_table.
+    """Items (a row each) with start_pos and end_pos (J09): item_id, doc_id, start_pos, end_pos, in_table.
 
     The start is the first paragraph with the item's uuid; items without one drop out. The end is, if the start stands
     in a table, the last paragraph with the end id, else the first at or after the start; an end that is not there
@@ -24,12 +26,11 @@ def ranges(items: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """
     p = paragraphs.select("doc_id", "pos", F.upper("para_id").alias("pid"), F.upper("para_id_end").alias("pend"), "is_table")
     i = items.select("item_id", "doc_id", clean_ref(F.col("uuid")).alias("u"), clean_ref(F.col("uuid_end")).alias("e"))
-    start = i.join(p.select("doc_id", F.col("pid").alias("u"), "pos", "is_table"), ["doc_id", "u"]).groupBy("item_id", "doc_id", "e").agg(F.min(F.struct("pos", "is_table")).alias("s"))
-    start = start.select("item_id", "doc_id", "e", F.col("s.pos").alias("start_pos"), F.col("s.is_table").alias("in_table"))
+    starts = p.select("doc_id", F.col("pid").alias("u"), "pos", "is_table").groupBy("doc_id", "u").agg(F.min(F.struct("pos", "is_table")).alias("s"))
+    start = i.join(starts, ["doc_id", "u"]).select("item_id", "doc_id", "e", F.col("s.pos").alias("start_pos"), F.col("s.is_table").alias("in_table"))
     ends = p.select("doc_id", F.explode(F.array_compact(F.array_distinct(F.array("pid", "pend")))).alias("e"), F.col("pos").alias("p"))
-    j = start.join(ends, ["doc_id", "e"], "left").groupBy("item_id", "doc_id", "start_pos", "in_table").agg(
-        F.max(F.when(F.col("p") >= F.col("start_pos"), F.col("p"))).alias("last"), F.min(F.when(F.col("p") >= F.col("start_pos"), F.col("p"))).alias("first")
-    )
+    there = F.when(F.col("p") >= F.col("start_pos"), F.col("p"))
+    j = start.join(ends, ["doc_id", "e"], "left").groupBy("item_id", "doc_id", "start_pos", "in_table").agg(F.max(there).alias("last"), F.min(there).alias("first"))
     return j.select("item_id", "doc_id", "start_pos", F.when(F.col("in_table"), F.col("last")).otherwise(F.col("first")).alias("end_pos"), "in_table")
 
 
@@ -67,14 +68,26 @@ def text_forms(t: Column) -> list[Column]:
     return [t.alias("t1"), other(tx.rtrim_lines(t)).alias("t2"), other(tx.strip_markup(t)).alias("t7")]
 
 
-def ladder() -> Column:
+def _at(q: str, t: str) -> Column:
+    return F.position(F.col(q), F.coalesce(F.col(t), F.col("t1")))
+
+
+def ladder(upto: int = 9) -> Column:
     """(rank, offset) of the first rung that holds the quote, over columns q1.. and t1..; null if none.
 
     1 as it is; 2 lines without trailing blanks; 3 numbering prefix stripped; 4 numbering of all lines stripped;
-    7 without superscript and subscript tags. Offsets count from 0 in the text the rung looks at.
+    7 without superscript and subscript tags. Offsets count from 0 in the text the rung looks at. Rungs above ``upto``
+    are left out.
     """
-    at = lambda q, t: F.position(F.col(q), F.coalesce(F.col(t), F.col("t1")))
-    return F.coalesce(*[F.when(at(q, t) > 0, F.struct(F.lit(r).alias("rank"), (at(q, t) - 1).alias("offset"))) for r, (q, t) in RUNGS.items()])
+    return F.coalesce(*[F.when(_at(q, t) > 0, F.struct(F.lit(r).alias("rank"), (_at(q, t) - 1).alias("offset"))) for r, (q, t) in RUNGS.items() if r <= upto])
+
+
+def holds(upto: int = 9) -> Column:
+    """Whether any rung holds the quote; true exactly where ladder() is not null, but cheaper where none does."""
+    rung = {r: F.contains(F.coalesce(F.col(t), F.col("t1")), F.col(q)) for r, (q, t) in RUNGS.items() if r <= upto}
+    if 2 in rung:  # else the same search as the first
+        rung[2] = (F.col("t2").isNotNull() | (F.col("q2") != F.col("q1"))) & rung[2]
+    return F.coalesce(reduce(lambda a, b: a | b, rung.values()), F.lit(False))
 
 
 #: What parts the words of a text.
@@ -94,20 +107,70 @@ def _middle(words: Column) -> Column:
     return F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(F.array().cast("array<string>"))
 
 
-def candidates(forms: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (item_id, doc_id, pos) of quotes and the paragraphs of their range that may hold them; none that does is missing.
+def _met(forms: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of ``forms`` (range and q1 .. q7) with the paragraphs of their range (doc_id, pos, t1 .. t7) that may hold them.
 
     Quotes meet paragraphs by an inner word within the document, so an item whose range is a whole document does not
-    meet all of it; only quotes without such a word go through the range join. ``forms`` has the range and q1 .. q7,
-    ``texts`` doc_id, pos, t1 .. t7.
+    meet all of it; only quotes without such a word meet every paragraph, by the empty word. The quotes are broadcast
+    and nothing is shuffled, so ``forms`` has to be small.
+    """
+    words = F.array_compact(F.array_distinct(F.array(inner_word(F.coalesce("q4", "q3", "q1")), inner_word(F.col("q7")))))
+    keyed = forms.filter(F.col("q1").isNotNull()).withColumn("words", words)
+    keyed = keyed.withColumn("word", F.explode(F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.lit(""))))).drop("words")
+    every = F.array_union(F.array(F.lit("")), F.array_union(F.split("t1", _BETWEEN), F.split(F.coalesce("t7", "t1"), _BETWEEN)))
+    met = texts.withColumn("word", F.explode(every)).join(F.broadcast(keyed), ["doc_id", "word"])
+    return met.filter((F.col("pos") >= F.col("start_pos")) & (F.col("end_pos").isNull() | (F.col("pos") <= F.col("end_pos")))).drop("word")
+
+
+def candidates(forms: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (item_id, doc_id, pos) of quotes and the paragraphs of their range that may hold them; none that does is missing."""
+    return _met(forms, texts).select("item_id", "doc_id", "pos").distinct()
+
+
+def _best(upto: int) -> Column:
+    """First rank, then first place, over rows of quotes and paragraphs."""
+    hit = ladder(upto)
+    return F.min(F.when(F.col("pos").isNotNull() & hit.isNotNull(), F.struct(hit["rank"].alias("rank"), F.col("pos"), hit["offset"].alias("offset")))).alias("m")
+
+
+def _near(items: DataFrame, paragraphs: DataFrame, upto: int) -> DataFrame:
+    """Items with m, the best place among the first NEAR places of their range; q is null where m is of rank 1 and all is done.
+
+    Both sides meet on (doc_id, bucket), quotes and texts move once each, and what leaves the join is the hits.
     """
-    keyed = forms.withColumn("words", F.array_compact(F.array_distinct(F.array(inner_word(F.coalesce("q4", "q3", "q1")), inner_word(F.col("q7"))))))
-    some = keyed.filter(F.col("q1").isNotNull())
-    by_word = some.filter(F.size("words") > 0).select("item_id", "doc_id", "start_pos", "end_pos", F.explode("words").alias("word"))
-    words = F.array_union(F.split("t1", _BETWEEN), F.split(F.coalesce("t7", "t1"), _BETWEEN))
-    met = by_word.join(texts.select("doc_id", "pos", F.explode(words).alias("word")), ["doc_id", "word"]).filter((F.col("pos") >= F.col("start_pos")) & (F.col("end_pos").isNull() | (F.col("pos") <= F.col("end_pos"))))
-    rest = paragraphs_in_range(some.filter(F.size("words") == 0).select("item_id", "doc_id", "start_pos", "end_pos"), texts.select("doc_id", "pos"))
-    return met.select("item_id", "doc_id", "pos").unionByName(rest.select("item_id", "doc_id", "pos")).distinct()
+    parts = int(paragraphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = lambda c: F.floor(c / NEAR_BUCKET)
+    p = paragraphs.select("doc_id", "pos", "text", bucket(F.col("pos")).alias("_b")).repartition(parts, "doc_id", "_b").dropDuplicates(["doc_id", "_b", "pos"])
+    p = p.select(F.col("doc_id").alias("_d"), F.col("_b").alias("_pb"), "pos", *text_forms(F.col("text")))
+    to = F.least(F.col("end_pos"), F.col("start_pos") + (NEAR - 1))
+    spread = F.when(F.col("q") != "", F.sequence(bucket(F.col("start_pos")), bucket(to)))
+    i = items.select("*", to.alias("_to"), F.explode_outer(spread).alias("_b")).repartition(parts, "doc_id", "_b").select("*", *quote_forms(F.col("q")))
+    on = (F.col("doc_id") == F.col("_d")) & (F.col("_b") == F.col("_pb")) & F.col("pos").between(F.col("start_pos"), F.col("_to")) & holds(upto)
+    rest = F.when(F.coalesce(ladder(upto)["rank"] > 1, F.lit(True)), F.col("q"))
+    return i.join(p, on, "left").groupBy("item_id", "doc_id", "tagged", "action", "start_pos", "end_pos").agg(_best(upto), F.max(rest).alias("q"))
+
+
+def _far(near: DataFrame, paragraphs: DataFrame, upto: int) -> DataFrame | None:
+    """item_id and m for what _near() left without a place of rank 1 and whose range goes on; null if there is none such.
+
+    Paragraphs of their documents are read once for every BROADCAST bytes of quotes.
+    """
+    beyond = F.col("start_pos") + NEAR
+    left = near.filter((F.col("q") != "") & F.coalesce(F.col("m.rank") > 1, F.lit(True)) & F.col("start_pos").isNotNull() & (F.col("end_pos").isNull() | (F.col("end_pos") >= beyond)))
+    left = left.select("item_id", "doc_id", beyond.alias("start_pos"), "end_pos", "q")
+    size = left.agg(F.sum(6 * F.length("q") + 300)).first()[0]
+    if not size:
+        return None
+    # what is looked for costs more than the bytes of the texts tell: as many tasks as the session has partitions
+    parts = int(paragraphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, found = -(-size // BROADCAST), []
+    for k in range(n):
+        part = left.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        docs = part.groupBy("doc_id").agg(F.min("start_pos").alias("_from"))
+        texts = paragraphs.select("doc_id", "pos", "text").join(F.broadcast(docs), "doc_id").filter(F.col("pos") >= F.col("_from")).drop("_from").repartition(parts, "doc_id", "pos").dropDuplicates(["doc_id", "pos"])
+        met = _met(part.select("*", *quote_forms(F.col("q"))).drop("q"), texts.select("doc_id", "pos", *text_forms(F.col("text"))))
+        found.append(checkpointed(met.filter(holds(upto)).groupBy("item_id").agg(_best(upto))))
+    return F.broadcast(found[0]) if n == 1 else reduce(DataFrame.unionByName, found)
 
 
 def table_cells(paragraphs: DataFrame) -> DataFrame:
@@ -146,42 +209,52 @@ def _in_tables(left: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, every).groupBy("item_id").agg(F.min("m").alias("m"))
 
 
-def locate(items: DataFrame, paragraphs: DataFrame, quote: str = "violation_text") -> DataFrame:
+def locate(items: DataFrame, paragraphs: DataFrame, quote: str = "violation_text", upto: int = 9) -> DataFrame:
     """Where each item's quote is (M01-M03, L05): item_id, doc_id, status, rank, pos, offset.
 
     First single paragraphs (ladder()), then, for what is in none, rank 5 the range joined by line feeds, 6 table rows
     without row numbers on either side, 8 single cells as they read, 9 the longest part of a quote that runs over the
     borders of cells, rows or table and text. A quote with a table tag is looked for by its longest text outside of
     tables (rank 0), and its item falls back to a comment if it is to be replaced or deleted. The rest is not_found, or
-    no_anchor where the start paragraph is missing. The first rank, then the first place wins. Both sides are brought to
-    their forms before they meet, and meet only where they share a word. Items without ``fix_action`` are manual.
+    no_anchor where the start paragraph is missing. The first rank, then the first place wins; with ``upto``, no search of
+    a later rank is made. Most quotes stand at the start of their range, so that is searched first and the rest of a long
+    range only for what is not there as it reads. Items without ``fix_action`` are manual. Of ``paragraphs`` repeated at
+    a place one counts.
     """
     action = F.coalesce("fix_action", F.lit("manual")) if "fix_action" in items.columns else F.lit("manual")
     i = items.select("item_id", "doc_id", "uuid", "uuid_end", F.col(quote).alias("own"), action.alias("action")).dropDuplicates(["item_id"])
     tagged = F.coalesce(F.contains("own", F.lit("<table>")), F.lit(False))
     i = i.withColumn("tagged", tagged).withColumn("q", F.when(tagged, tx.longest_segment(F.col("own"))).otherwise(F.col("own")))
-    r = ranges(i, paragraphs)
-    forms = checkpointed(r.join(i.select("item_id", *quote_forms(F.col("q"))), "item_id"))
-    texts = paragraphs.select("doc_id", "pos", *text_forms(F.col("text")))
-    # pairs are small and their texts are not: as many tasks as the session has partitions, however few bytes there are
-    parts = int(paragraphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = candidates(forms, texts).repartition(parts, "doc_id", "pos").join(texts, ["doc_id", "pos"]).join(forms.select("item_id", "q1", "q2", "q3", "q4", "q7"), "item_id")
-    best = pairs.withColumn("hit", ladder()).filter("hit is not null").groupBy("item_id").agg(F.min(F.struct(F.col("hit.rank"), "pos", F.col("hit.offset"))).alias("m"))
-    best = checkpointed(best)
-    left = checkpointed(forms.filter("q1 is not null").join(best, "item_id", "left_anti"))
+    r = ranges(i, paragraphs.select("doc_id", "pos", "para_id", "para_id_end", "is_table").dropDuplicates(["doc_id", "pos"]))
+    placed = i.select("item_id", "doc_id", "tagged", "action", "q").join(r.select("item_id", "start_pos", "end_pos"), "item_id", "left")
+    near = checkpointed(_near(placed, paragraphs, upto))
+    far = _far(near, paragraphs, upto)
+    best = near if far is None else near.join(far.withColumnRenamed("m", "_far"), "item_id", "left").withColumn("m", F.least("m", "_far")).drop("_far")
+    if upto >= 5:
+        best = _in_several(best, paragraphs, upto)
+    status = F.when(F.col("start_pos").isNull(), "no_anchor").when(F.col("tagged") & (F.col("action") != "manual"), "fallback").when(F.col("m").isNotNull(), "found").otherwise("not_found")
+    return best.select("item_id", "doc_id", status.alias("status"), F.when(F.col("m").isNotNull() & F.col("tagged"), 0).otherwise(F.col("m.rank")).alias("rank"), "m.pos", "m.offset")
+
+
+def _in_several(best: DataFrame, paragraphs: DataFrame, upto: int) -> DataFrame:
+    """``best`` with m of ranks 5, 6, 8 and 9 for the items in no single paragraph."""
+    left = best.filter(F.col("start_pos").isNotNull() & (F.col("q") != "") & F.col("m").isNull())
     # quotes of one line without anything of a table have no further place: the searches for others are planned only where there are others
-    lines, marks = F.contains(F.col("q1"), F.lit("\n")), F.col("q1").rlike(r'["\\\t\n]|</?table>')
+    lines, marks = F.contains(F.col("q"), F.lit("\n")), F.col("q").rlike(r'["\\\t\n]|</?table>')
     there = left.agg(F.bool_or(lines).alias("lines"), F.bool_or(marks).alias("marks")).first()
-    found = best
+    if not (there.lines or there.marks):
+        return best
+    once = paragraphs.select("doc_id", "pos", "text", "is_table").dropDuplicates(["doc_id", "pos"])
+    left = checkpointed(left.filter(lines | marks).select("item_id", "doc_id", "start_pos", "end_pos", *quote_forms(F.col("q"))))
+    found = []
     if there.lines:
-        wide = paragraphs_in_range(left.filter(lines).select("item_id", "doc_id", "start_pos", "end_pos", "q1"), paragraphs.select("doc_id", "pos", "text"))
+        wide = paragraphs_in_range(left.filter(F.contains(F.col("q1"), F.lit("\n"))).select("item_id", "doc_id", "start_pos", "end_pos", "q1"), once.select("doc_id", "pos", "text"))
         joined = wide.groupBy("item_id", "q1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("t"), F.min("pos").alias("pos"))
-        found = found.unionByName(joined.filter(F.position(F.col("q1"), F.col("t")) > 0).select("item_id", F.struct(F.lit(5).alias("rank"), "pos", (F.position(F.col("q1"), F.col("t")) - 1).alias("offset")).alias("m")))
-    if there.marks:
-        found = found.unionByName(_in_tables(left.filter(marks), paragraphs)).groupBy("item_id").agg(F.min("m").alias("m"))
-    out = i.select("item_id", "doc_id", "tagged", "action").join(forms.select("item_id", F.lit(True).alias("anchored")), "item_id", "left").join(found, "item_id", "left")
-    status = F.when(F.col("anchored").isNull(), "no_anchor").when(F.col("tagged") & (F.col("action") != "manual"), "fallback").when(F.col("m").isNotNull(), "found").otherwise("not_found")
-    return out.select("item_id", "doc_id", status.alias("status"), F.when(F.col("m").isNotNull() & F.col("tagged"), 0).otherwise(F.col("m.rank")).alias("rank"), "m.pos", "m.offset")
+        found.append(joined.filter(F.position(F.col("q1"), F.col("t")) > 0).select("item_id", F.struct(F.lit(5).alias("rank"), "pos", (F.position(F.col("q1"), F.col("t")) - 1).alias("offset")).alias("m")))
+    if there.marks and upto > 5:
+        found.append(_in_tables(left, once))
+    more = reduce(DataFrame.unionByName, found).groupBy("item_id").agg(F.min("m").alias("_more"))
+    return best.join(more, "item_id", "left").withColumn("m", F.coalesce("m", "_more")).drop("_more")
 
 
 def original_offset(text: Column, at: Column) -> Column:

@@ -20,11 +20,16 @@ STRETCH = 4096
 PREFACE = "Preface/Uncategorized"
 
 
-def current_paragraphs(paragraphs: DataFrame, at: Column | None = None) -> DataFrame:
-    """Paragraphs present at a time (default: now), without repeated rows, blank texts and null places."""
+def present_paragraphs(paragraphs: DataFrame, at: Column | None = None) -> DataFrame:
+    """Paragraphs present at a time (default: now), without blank texts and null places (F01); repeated rows stay."""
     there = F.col("deleted_at").isNull() if at is None else (F.col("loaded_at") <= at) & (F.col("deleted_at").isNull() | (at < F.col("deleted_at")))
     keep = ["doc_id", "pos", "text", "para_id", "para_id_end", "is_table", "level"]
-    return paragraphs.filter(there & ~is_blank(F.col("text")) & F.col("pos").isNotNull() & F.col("doc_id").isNotNull()).select(*keep).dropDuplicates(["doc_id", "pos"])
+    return paragraphs.filter(there & ~is_blank(F.col("text")) & F.col("pos").isNotNull() & F.col("doc_id").isNotNull()).select(*keep)
+
+
+def current_paragraphs(paragraphs: DataFrame, at: Column | None = None) -> DataFrame:
+    """Paragraphs present at a time (default: now), without repeated rows, blank texts and null places."""
+    return present_paragraphs(paragraphs, at).dropDuplicates(["doc_id", "pos"])
 
 
 def _stretched(df: DataFrame, pos: str, size: int) -> DataFrame:

@@ -53,7 +53,7 @@ FROM a LEFT JOIN g ON g.item_id = a.item_id LEFT JOIN m ON m.item_id = a.item_id
 )
 def match_ladder(spark: SparkSession, d: str) -> DataFrame:
     """Place, rank and status of each quote; the quotes here are of one line and none is of table rows, so the SQL has ranks 1, 2, 3 and 7."""
-    return mt.locate(table(spark, d, "edit_items").drop("fix_action"), st.current_paragraphs(table(spark, d, "paragraphs")))
+    return mt.locate(table(spark, d, "edit_items").drop("fix_action"), st.present_paragraphs(table(spark, d, "paragraphs")))
 
 
 @Q.add(
