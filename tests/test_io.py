@@ -12,6 +12,7 @@ from vellora.operators import audit as au
 from vellora.operators import manifest as mf
 from vellora.operators import match as mt
 from vellora.operators import rules as rl
+from vellora.operators import structure as st
 from vellora.sources import jsonl as jl
 from vellora.streaming.incremental import audit_stream, retry_failed
 
@@ -196,6 +197,19 @@ def test_location_moves_each_text_once(spark, monkeypatch):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_exact_search_alone(spark, sf, monkeypatch):
+    import __spark_entry__ as e
+    from vellora.session import table
+
+    want = {(r.item_id, r.pos, r.offset) for r in mt.locate(table(spark, sf, "edit_items"), st.current_paragraphs(table(spark, sf, "paragraphs"))).filter("rank = 1").collect()}
+    asked = []
+    form = mt.RUNGS[7]
+    monkeypatch.setattr(mt, "_in_several", lambda *a: asked.append(a) or a[0], raising=False)
+    monkeypatch.setitem(mt.RUNGS, 7, ("no such column", form[1]))  # fails if the seventh rung is looked at
+    got = {tuple(r) for r in e.queries()["match_exact"](spark, sf).collect()}
+    assert got == want and len(got) > 100 and not asked
+
+
 def test_way_back_from_trimmed_lines(spark):
     t = "ab  \ncd\t \n\nef"
     plain = "ab\ncd\n\nef"

@@ -39,7 +39,7 @@ SELECT item_id, CAST(min(pos) AS BIGINT) AS pos, CAST(arg_min(off, pos) AS INTEG
 )
 def match_exact(spark: SparkSession, d: str) -> DataFrame:
     """M01 rank 1, L05: first literal place of each quote in its range."""
-    return mt.locate(table(spark, d, "edit_items"), st.current_paragraphs(table(spark, d, "paragraphs"))).filter("rank = 1").select("item_id", "pos", "offset")
+    return mt.locate(table(spark, d, "edit_items"), st.present_paragraphs(table(spark, d, "paragraphs")), upto=1).filter("rank = 1").select("item_id", "pos", "offset")
 
 
 @Q.add(
